@@ -84,12 +84,14 @@ SIGNS[[c for c in range(128) if not chr(c).isalnum()]] = True
 _LOWER = np.frombuffer(LOWER, np.uint8)
 
 
-def words(offsets: np.ndarray, data: np.ndarray, apart: np.ndarray = SPACE):
-    """(start, end, row, hash) of every word of a chunk; words never cross rows, A-Z count as a-z."""
+def words(offsets: np.ndarray, data: np.ndarray, apart: np.ndarray = SPACE, prefix: int = 0):
+    """(start, end, row, hash) of every word of a chunk; words never cross rows, A-Z count as a-z.
+    With a prefix: also the hash of each word's first bytes, so many at most."""
     n = len(data)
     none = np.zeros(0, np.int64)
+    empty = (none, none, none, none.astype(U64), *[none.astype(U64)] * bool(prefix))
     if not n:
-        return none, none, none, none.astype(U64)
+        return empty
     low = _LOWER[data]
     inside = ~apart[low]
     first = np.zeros(n + 1, bool)
@@ -98,7 +100,7 @@ def words(offsets: np.ndarray, data: np.ndarray, apart: np.ndarray = SPACE):
     begins[1:] &= ~inside[:-1] | first[1:n]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return none, none, none, none.astype(U64)
+        return empty
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | first[1:n]
     ends = np.flatnonzero(ends) + 1
@@ -107,8 +109,13 @@ def words(offsets: np.ndarray, data: np.ndarray, apart: np.ndarray = SPACE):
     within = np.arange(len(at), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     table = powers(0x9E3779B97F4A7C15, int(lengths.max()))
     terms = (low[at].astype(U64) + U64(1)) * table[within]
-    hashes = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, mix(hashes + lengths.astype(U64))
+    begin = np.cumsum(lengths) - lengths
+    hashes = mix(np.add.reduceat(terms, begin) + lengths.astype(U64))
+    out = starts, ends, np.searchsorted(offsets, starts, "right") - 1, hashes
+    if prefix:
+        terms[within >= prefix] = 0
+        out = *out, mix(np.add.reduceat(terms, begin))
+    return out
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, k: int):

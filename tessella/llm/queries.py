@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, urlfilter
+from . import decontam, mixing, quality, simhash, tokencount, urlfilter
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "via")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "source", "lang", "host_share", "path_share", "evidence", "posterior", "keep")
+
+
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hex_result(simhash.simhash_components(read(spark, sf_dir, "documents")))
 
@@ -25,8 +30,26 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "start", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.length_histogram(tokencount.encoded_lengths(read(spark, sf_dir, "documents")))
+
+
+ALL = (
+    op1_url_filters,
+    op4_quality_classifier,
+    op5_simhash_neardup,
+    op6_source_mixing,
+    op7_benchmark_decontamination,
+    op8_token_counts,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op5_simhash_neardup, op6_source_mixing)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
