@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, simhash, tokencount, urlfilter
+from . import decontam, mixing, quality, simhash, spotsigs, tokencount, urlfilter
 from .common import read
 
 
@@ -38,6 +38,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.length_histogram(tokencount.encoded_lengths(read(spark, sf_dir, "documents")))
 
 
+def op9_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(read(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_url_filters,
     op4_quality_classifier,
@@ -45,6 +49,7 @@ ALL = (
     op6_source_mixing,
     op7_benchmark_decontamination,
     op8_token_counts,
+    op9_spotsigs_fingerprints,
 )
 
 
