@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, simhash, spotsigs, tokencount, urlfilter
+from . import decontam, mixing, pii, quality, simhash, spotsigs, tokencount, urlfilter
 from .common import read
 
 
@@ -42,6 +42,10 @@ def op9_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(read(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_url_filters,
     op4_quality_classifier,
@@ -50,6 +54,7 @@ ALL = (
     op7_benchmark_decontamination,
     op8_token_counts,
     op9_spotsigs_fingerprints,
+    op10_pii_boosting,
 )
 
 
