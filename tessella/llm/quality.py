@@ -228,7 +228,7 @@ def site_posteriors(scored: DataFrame, host: Column, path: Column, p: str = "_p"
     by = scored.groupBy(host.alias("host"), path.alias("path")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(p).alias("s"), F.sum(F.col(p) * F.col(p)).alias("s2")
     )
-    by = by.withColumnRenamed("host", "h")
+    by = durable(by.withColumnRenamed("host", "h"))  # a row for each site; all that follows reads it, not the texts
     hosts = by.groupBy(F.col("h").alias("host")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("s2").alias("hs2"))
     whole = hosts.agg(
         F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum("hs2").alias("s2"), F.count(F.lit(1)).alias("sites"),
