@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, pii, quality, simhash, spotsigs, tokencount, urlfilter
+from . import decontam, mixing, pii, quality, simhash, spotsigs, suffix, tokencount, urlfilter
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "via")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.removed_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "source", "lang", "host_share", "path_share", "evidence", "posterior", "keep")
@@ -48,6 +53,7 @@ def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_url_filters,
+    op3_suffix_dedup,
     op4_quality_classifier,
     op5_simhash_neardup,
     op6_source_mixing,
