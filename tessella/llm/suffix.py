@@ -238,7 +238,7 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
 def _cut(rows: DataFrame, need: DataFrame, length: int) -> DataFrame:
     """The bytes of the super-windows that `need` names, finer ones for crowded groups."""
     met = rows.join(need, ["k1", "k2"]).select("text", "wanted")
-    schema = "deal long, value long, content long, skip int, weight long, bytes binary"
+    schema = "deal long, value long, content long, skip long, weight long, bytes binary"
     names = ["deal", "value", "content", "skip", "weight", "bytes"]
 
     def run(batches):
