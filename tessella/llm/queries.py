@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, pii, quality, simhash, spotsigs, suffix, tokencount, urlfilter
+from . import chaining, decontam, mixing, pii, quality, simhash, spotsigs, suffix, tokencount, urlfilter
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "via")
 
 
+def op2_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(read(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.removed_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -53,6 +57,7 @@ def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_url_filters,
+    op2_collinear_chaining,
     op3_suffix_dedup,
     op4_quality_classifier,
     op5_simhash_neardup,
