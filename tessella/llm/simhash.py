@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, U64, durable, gather, hex64, signed, text_chunks
 from .components import connected_components
@@ -197,13 +198,34 @@ def simhash_components(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the least id stays (of repeated ids
-    one row). Rows without an id stay unless their class has a member with one."""
-    classes = simhash_components(docs, id_col, text_col, budget)
-    going = classes.where(
-        F.col("doc_id").isNotNull() & F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))
-    ).select(F.col("doc_id").alias("going")).distinct()
-    return docs.join(going, docs[id_col] == F.col("going"), "left_anti").dropDuplicates([id_col])
+    """docs without near-duplicates: of each class the row with the least id stays, of rows with one id
+    any one. Rows without an id stay unless their class has a member with one. Texts are shuffled once,
+    to leave out the ids that go (not at all while those ids are few enough to be broadcast)."""
+    classes = durable(simhash_components(docs, id_col, text_col, budget))
+    named = classes.where(F.col("doc_id").isNotNull())
+    going = named.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_going")).distinct()
+    kept = docs.join(going, docs[id_col] == F.col("_going"), "left_anti")
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    if not classes.where(F.col("doc_id").isNull()).isEmpty():
+        alone = classes.groupBy("fp").agg(F.max("component_id").alias("c")).where("c is null").select("fp").withColumnRenamed("fp", "_fp")
+        nameless = kept.where(F.col(id_col).isNull())
+        marked = nameless.mapInArrow(_with_print(docs, text_col), T.StructType([*docs.schema.fields, T.StructField("_own", T.LongType())]))
+        nameless = marked.join(alone, F.col("_own") == F.col("_fp")).dropDuplicates(["_own"]).select(*docs.columns)
+        kept = kept.where(F.col(id_col).isNotNull()).unionByName(nameless)
+    return kept
+
+
+def _with_print(docs: DataFrame, text_col: str):
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [(t.as_py() or "").encode() for t in batch.column(at)]
+            own = signed(text_fingerprints(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "_own"])
+
+    return run
 
 
 def hex_result(classes: DataFrame) -> DataFrame:
