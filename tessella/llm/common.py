@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the executions inside go when each ends; for jobs that read no shuffle twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder, and its path: columnar and compressed, for large
+    intermediates; the caller drops it."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
