@@ -1,0 +1,311 @@
+"""The corpus operators on small tables: contracts, edge cases, nulls, repeated rows, empty tables."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tessella.llm import chaining, components, decontam, mixing, pii, quality, simhash, spotsigs, suffix, tokencount, urlfilter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_2 string"
+LONG = " ".join(f"word{i % 977}x{i}" for i in range(3000))
+ROWS = [
+    (0, "the cat sat on the mat and the dog saw it all from the door " * 6, "en", "s0", 1, "a"),
+    (1, None, None, None, None, None),
+    (2, "", "en", "s0", 0, ""),
+    (3, LONG, "en", "s1", 2, "b"),
+    (4, LONG, "en", "s1", 2, "b"),
+    (4, LONG, "en", "s1", 2, "b"),
+    (None, "no id here", "de", "s2", 3, "c"),
+    (7, " ".join(LONG.split()[:600]) + " and another end of the text", "en", "s1", 4, "d"),
+    (8, "x" * 5000, "en", "s0", 5, "e"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def by_id(rows):
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (5, 4), (7, 7), (None, 1), (9, 3)], "u long, v long")
+    got = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4}
+    chain = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r["root"] for r in components.connected_components(chain).collect()} == {0}
+    assert components.connected_components(chain.limit(0)).count() == 0
+
+
+def test_url_filters(spark):
+    link = '<html><head><link rel="canonical" href="{}"></head></html>'
+    rows = [
+        (1, "https://a.example.org/es/1", "<html></html>"),
+        (2, "https://b.net/x", link.format("https://a.example.org/es/9#top")),
+        (3, "https://c.net/y", '<meta http-equiv="refresh" content="0; url=https://b.net/x">'),
+        (4, "https://d.example.com/fr/1", link.format("https://b.net/x")),
+        (5, None, None),
+        (6, "no scheme", link.format("https://b.net/x")),
+        (7, "http://WWW.Example.ORG/en/12?q", ""),
+        (8, "http://x.de", None),
+        (8, "http://x.de", None),
+        (9, "https://e.net/p/q", link.format("/z")),
+        (10, "https://e.net/z", ""),
+        (11, "https://example.com/de/1", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = urlfilter.judge_urls(pages)
+    assert out.count() == len(rows)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["via"]) for r in out.collect()}
+    assert got[1] == ("a.example.org", "/es/1", "example.org/es/", "block", "rule")
+    assert got[4] == ("d.example.com", "/fr/1", "com/fr/", "allow", "rule")
+    # an alias that a rule allows goes before one that a rule blocks
+    assert got[2][2:] == (None, "allow", "alias") and got[3][2:] == (None, "allow", "alias")
+    assert got[5] == got[6] == ("", "", None, "allow", "default")
+    assert got[7] == ("www.example.org", "/en/12", "example.org/en/1", "block", "rule")
+    assert got[9][3] == "allow" and got[11][2:4] == ("com/de/", "block")
+    blocked = urlfilter.judge_urls(pages.where("page_id in (1, 2, 3)"))
+    assert {r["page_id"]: r["verdict"] for r in blocked.collect()} == {1: "block", 2: "block", 3: "block"}
+    moved = spark.createDataFrame([("http://x.de", "https://example.com/de/1")], "source string, target string")
+    assert {r["verdict"] for r in urlfilter.judge_urls(pages.where("page_id = 8"), redirects=moved).collect()} == {"block"}
+    assert urlfilter.judge_urls(pages.limit(0)).count() == 0
+
+
+def brute_repeats(rows, n):
+    counts = Counter(t[i : i + n] for _, t in rows for i in range(len(t) - n + 1))
+    out = []
+    for d, t in rows:
+        gone = set()
+        for i in range(len(t) - n + 1):
+            if counts[t[i : i + n]] > 1:
+                gone.update(range(i, i + n))
+        spans = sum(1 for i in gone if i - 1 not in gone)
+        kept = bytes(b for i, b in enumerate(t) if i not in gone)
+        out.append((d, len(t), len(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [suffix.CROWD, 1])
+def test_suffix_dedup(spark, docs, none, crowd, monkeypatch):
+    monkeypatch.setattr(suffix, "CROWD", crowd)
+    shared = "the line that many texts have, with words enough to be longer than two hundred bytes, " * 3
+    rows = [*ROWS, (20, shared + "one", "en", "s", 1, "f"), (21, "two" + shared, "en", "s", 1, "g"), (22, "3" + shared[:230] + "x", "en", "s", 1, "h")]
+    out = suffix.removed_repeats(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute_repeats([(r[0], (r[1] or "").encode()) for r in rows], suffix.LENGTH)
+    assert Counter(map(tuple, out.collect())) == Counter(want)
+    assert suffix.removed_repeats(none).count() == 0
+
+
+def test_chaining(spark, docs, none):
+    import random
+
+    random.seed(8)
+    words = [f"t{random.randint(0, 9999)}" for _ in range(900)]
+    passage = words[100:190]
+    edited = [*passage]
+    edited[30], edited[60] = "changed", "other"
+    rows = [(1, " ".join(words)), (2, " ".join([*words[300:340], *passage, *["q1", "q2"]])), (3, " ".join(["r1", *edited, "r2"])), (4, " ".join(words[300:330]))]
+    got = [tuple(r) for r in chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "source_id", "n_words", "identity").collect()]
+    pairs = {(a, b): (n, i) for a, b, n, i in got}
+    assert (2, 1) in pairs and pairs[2, 1][0] >= 82
+    assert (3, 1) in pairs and pairs[3, 1][0] >= 80 and 0.8 <= pairs[3, 1][1] < 1
+    assert not any(4 in p for p in pairs)
+    found = chaining.fuzzy_passages(docs)
+    assert {(r["doc_id"], r["source_id"]) for r in found.collect()} >= {(4, 3), (7, 3)}
+    assert chaining.removable(found).where("doc_id = 4").first()["spans"][0]["end_word"] > 2980
+    assert chaining.fuzzy_passages(none).count() == 0
+
+
+def test_simhash(spark, docs, none):
+    rows = simhash.simhash_components(docs).collect()
+    assert len(rows) == len(ROWS)
+    got = by_id(rows)
+    assert got[1]["fp"] == got[2]["fp"] == 0 and got[2]["component_id"] == 1
+    assert got[4]["component_id"] == 3 and got[None]["component_id"] is None
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert Counter(ids)[3] == 1 and 4 not in ids and None in ids and 1 in ids and 2 not in ids
+    assert simhash.keep_one_of_each(none).count() == 0
+
+
+def test_quality_on_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    train, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    out = quality.classify(docs, train).join(held, "doc_id")
+    clean = out.where("quality = 1 and toxic = 0").agg(F.avg(F.col("keep").cast("int"))).first()[0]
+    junk = out.where("quality = 0").agg(F.avg(F.col("keep").cast("int"))).first()[0]
+    assert clean > 0.95 and junk < 0.3
+
+
+def test_quality_edges(spark, docs, none):
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (8, 0, 1), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(docs, labels).count() == len(ROWS)
+    assert quality.classify(docs, labels, broadcast_sites=0).count() == len(ROWS)
+    assert quality.classify(docs, labels.limit(0)).count() == len(ROWS)
+    assert quality.classify(none, labels).count() == 0
+    assert "keep" in quality.classify(docs, labels).columns
+
+
+def test_shrinkage(spark):
+    rows = [("big", "a", 0.9)] * 200 + [("big", "b", 0.2)] * 2 + [("bad", "a", 0.1)] * 200 + [("tiny", "a", 0.0)]
+    sites = quality.site_posteriors(spark.createDataFrame(rows, "h string, l string, _p double"), F.col("h"), F.col("l"))
+    got = {(r["host"], r["path"]): r for r in sites.collect()}
+    assert abs(got["big", "a"]["path_share"] - 0.9) < 0.05 and abs(got["bad", "a"]["path_share"] - 0.1) < 0.05
+    assert 0.0 < got["tiny", "a"]["host_share"] < 0.5
+    assert 0.2 < got["big", "b"]["path_share"] < 0.9
+
+
+def test_mixing(spark, docs, none):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    total = sum(r["size"] for r in rows)
+    by = {r["source"]: r for r in rows}
+    assert abs(sum(by[s]["target"] for s in by) - min(1.5, 2) * total) < 1e-6 * total + 1e-6
+    for s in by:
+        assert sum(r["taken"] for r in rows if r["source"] == s) == int(by[s]["target"] + 1e-9)
+        assert by[s]["target"] <= 2 * by[s]["source_size"] + 1e-9
+    again = mixing.mix(docs.repartition(3)).collect()
+    key = lambda r: (str(r["doc_id"]), r["taken"], r["start"])
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+    order = mixing.training_order(docs).collect()
+    assert sum(r["copy_words"] for r in order) == sum(r["taken"] for r in rows)
+    assert [r["position"] for r in order] == sorted(r["position"] for r in order)
+    assert mixing.mix(none).count() == 0 and mixing.training_order(none).count() == 0
+
+
+def test_decontamination(spark, docs, none):
+    items = [(1, " ".join(LONG.split()[50:90])), (2, None), (3, ""), (4, "no id here"), (5, "nothing like it anywhere at all in these texts")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontam.contamination(docs, bench).collect())
+    assert got == {(3, 1): 1, (4, 1): 2, (7, 1): 1, (None, 4): 1}
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2, 8]
+    assert decontam.contamination(none, bench).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == len(ROWS)
+
+
+def test_token_counts(spark, docs, none):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokencount.VOCABULARY, "rb"))}
+    whole = tiktoken.Encoding("whole", pat_str=tokencount.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lengths = tokencount.encoded_lengths(docs)
+    want = [len(whole.encode_ordinary(r[1] or "")) for r in ROWS]
+    assert sorted(r["n_tokens"] for r in lengths.collect()) == sorted(want)
+    h = tokencount.length_histogram(lengths)
+    for r in h.collect():
+        n = r["n_tokens"]
+        assert r["n_docs"] == want.count(n) and r["tokens_at_least"] == sum(w for w in want if w >= n)
+        assert r["truncated_total"] == sum(min(w, n) for w in want) and r["docs_at_most"] == sum(w <= n for w in want)
+    cut = {r["context_limit"]: r["total"] for r in tokencount.truncated_totals(h, [0, 10, 512, 10**6]).collect()}
+    assert cut == {x: sum(min(w, x) for w in want) for x in (0, 10, 512, 10**6)}
+    q = {r["share"]: r["n_tokens"] for r in tokencount.quantiles(h, [0.5, 1.0]).collect()}
+    assert q[1.0] == max(want) and q[0.5] == sorted(want)[(len(want) + 1) // 2 - 1]
+    assert tokencount.length_histogram(tokencount.encoded_lengths(none)).count() == 0
+
+
+def test_spotsigs(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 2)
+    rows = list({r[0]: r for r in ROWS if r[0] is not None}.values())
+    out = by_id(spotsigs.edited_likeness(spark.createDataFrame(rows, DOCS)).collect())
+    texts = {r[0]: r[1] or "" for r in sorted(rows, key=lambda r: r[0])}
+    ids = list(texts)
+    for n, i in enumerate(ids):
+        t, nxt = texts[i], texts[ids[(n + 1) % len(ids)]]
+        cut = len(t) // 4
+        assert out[i]["n_chars"] == len(t)
+        assert out[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()
+    assert out[3]["fingerprint"] == out[4]["fingerprint"] and out[3]["near_next"] == 1.0
+    assert out[0]["near_edited"] > 0.3
+    assert spotsigs.edited_likeness(docs).count() == len(ROWS) and spotsigs.edited_likeness(none).count() == 0
+    near = by_id(spotsigs.near_duplicates(docs).collect())
+    assert near[4]["component_id"] == 3 and near[2]["component_id"] == 1 and near[0]["component_id"] == 0
+    assert spotsigs.near_duplicates(none).count() == 0
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    out = []
+    for k, (name, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            odd = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+            ok = {
+                "email": True,
+                "ip": name == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
+                "card": 12 <= len(digits) <= 19 and sum(v - 9 if v > 9 else v for v in odd) % 10 == 0,
+                "phone": 9 <= len(digits) <= 15,
+            }[name]
+            if ok:
+                out.append((m.start(), k, m.end(), name))
+    return ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(out))
+
+
+def test_pii_base(spark, none):
+    texts = [
+        "a@b.c_d@e.f x@y.z. q@q", "1.2.3.4.5.6.7.8 999.1.1.1 01.02.03.004", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111 1111 1111",
+        "call +1 (017) 555-7713 now +49 30 1234567.", "é😀 mail ü@x.de é.a@b-c.de", "", None, "9" * 6000, "1 " * 6000, "a." * 4000 + "@x.y", "+1" * 500,
+        "@.@.@ +( +1 ", "xy a@b.cc ", "1.1.1.1" * 50, "4111111111111111" * 3, "00000000000000",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.detect(docs).collect():
+        want = base_spans(texts[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), texts[r["doc_id"]]
+        assert set(want.split(",")) <= set(r["spans"].split(",")) | {""}
+        assert r["n_email"] == want.count("email") and r["n_card"] == want.count("card")
+    assert pii.detect(none).count() == 0
+
+
+def test_pii_method_adds_and_redacts(spark, docs):
+    rows = [(1, "please call 415-555-1234 or write to ann (at) example [dot] org today"), (2, "version 2021-03-04, isbn 978-3-1614-8410 total 1 234 567")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(pii.detect(df).collect())
+    assert "phone:12:24" in got[1]["spans"] and "email:37:" in got[1]["spans"] and got[1]["n_phone"] == 0
+    assert got[2]["spans"] == ""
+    clean = by_id(pii.redact(df).collect())
+    assert clean[1]["text"].startswith("please call [PHONE] or write to [EMAIL]") and clean[2]["text"] == rows[1][1]
+    same = pii.redact(docs, length_col="n_chars")
+    assert same.columns == docs.columns and same.count() == len(ROWS)
+    x, y, ids = pii.example_features(spark, 800)
+    half = ids // 8 % 2 == 0
+    model = pii.calibrate(pii.boost(x[half], y[half], 20), x[~half], y[~half])
+    assert ((model.margin(x[~half]) >= model.cut) == y[~half]).mean() > 0.95
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    seen = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.count() <= seen
+        seen, docs = out.count(), out
+    last = corpus_pipeline.run(spark, data)
+    assert 0 < last.select("doc_id").distinct().count() <= seen
+
+
+def test_registered():
+    names = entry.queries()
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
