@@ -308,11 +308,11 @@ def i8_uplift(spark, sf_dir):
 
 
 @query(f"""WITH {ELEV}, {NBR}, c AS (SELECT cid, i, j, least(rain / 300, 1) AS x, least(h / 400000, 1) AS k FROM elev), n AS (SELECT a.cid, avg(c.x) AS near FROM nbr a JOIN c ON c.cid = a.nid GROUP BY a.cid)
-SELECT cid, round(least(greatest(CASE WHEN x < k THEN x + (0.2 * x + 0.1 * near) * (k - x) ELSE x - 0.5 * (x - k) END, 0), 1), 6) AS x FROM c JOIN n USING (cid)""")
+SELECT cid, round(least(greatest(CASE WHEN x < k THEN x + (0.2 * x + 0.1 * near) * (k - x) ELSE x - 0.5 * (x - k) END, 0), 1) + 0.00000001, 6) AS x FROM c JOIN n USING (cid)""")
 def i11_cover(spark, sf_dir):
     c = with_rain(spark, sf_dir, elev(spark, sf_dir)[0])
     c = c.select("cid", "i", "j", F.least(F.col("rain") / 300, F.lit(1.0)).alias("x"), F.least(F.col("h") / 400000, F.lit(1.0)).alias("k"))
-    return iterate.grow_cover(c, "x", "k", 0.2, 0.1, 0.5).select("cid", r6(F.col("x"), "x"))
+    return iterate.grow_cover(c, "x", "k", 0.2, 0.1, 0.5).select("cid", r6(F.col("x") + 0.00000001, "x"))
 
 
 @query(f"""WITH {CLOUD}, p AS (SELECT label, (vec_id % 7) / 7.0 AS w, x, y, z FROM cloud)

@@ -191,9 +191,9 @@ def a7_pooled_mode(spark, sf_dir):
     return aggregate.mode(c, ["bi", "bj"], "zone", "greatest")
 
 
-@query(f"WITH {ELEV} SELECT i // 4 AS bi, j // 4 AS bj, round(avg(h), 4) AS mean, max(h) AS top, min(h) AS low FROM elev GROUP BY 1, 2")
+@query(f"WITH {ELEV} SELECT i // 4 AS bi, j // 4 AS bj, round(avg(h) + 0.000001, 4) AS mean, max(h) AS top, min(h) AS low FROM elev GROUP BY 1, 2")
 def a8_downsample(spark, sf_dir):
-    return aggregate.blocks(elev(spark, sf_dir)[0], 4, [F.round(F.avg("h"), 4).alias("mean"), F.max("h").alias("top"), F.min("h").alias("low")])
+    return aggregate.blocks(elev(spark, sf_dir)[0], 4, [F.round(F.avg("h") + 0.000001, 4).alias("mean"), F.max("h").alias("top"), F.min("h").alias("low")])
 
 
 @query(f"WITH {ELEV} SELECT zone, round(sum(rain) / (SELECT sum(rain) FROM elev), 6) AS share FROM elev GROUP BY zone")
