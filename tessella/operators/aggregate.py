@@ -43,6 +43,16 @@ def order_statistic(df: DataFrame, value: str, rank: int) -> DataFrame:
     return run.where(F.col("_cw") >= rank + 1).agg(F.min(value).alias(value))
 
 
+def interpolated_quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """One row: the quantile of a column, linear between the two order statistics beside q (n - 1)."""
+    n = df.count()
+    at = q * (n - 1) if n else 0.0
+    low = int(at)
+    a = order_statistic(df, value, low).withColumnRenamed(value, "_a")
+    b = order_statistic(df, value, min(low + 1, max(n - 1, 0))).withColumnRenamed(value, "_b")
+    return a.crossJoin(F.broadcast(b)).select((F.col("_a") + (at - low) * (F.col("_b") - F.col("_a"))).alias(name))
+
+
 def hold_share(df: DataFrame, value: str, share: float) -> DataFrame:
     """df with `value` shifted so that about `share` of the rows are at or above zero: the level is the
     order statistic rows - round(share rows), rounding half to even."""

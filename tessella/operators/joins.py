@@ -104,3 +104,20 @@ def seam_blend(own: DataFrame, other: DataFrame, key: Sequence[str], value: str,
     met = a.join(b, [*key], "full_outer")
     both = (F.col("_a") * F.col("_wa") + F.col("_b") * F.col("_wb")) / (F.col("_wa") + F.col("_wb"))
     return met.select(*key, F.coalesce(F.when(F.col("_wa") + F.col("_wb") > 0, both), F.col("_a"), F.col("_b")).alias(value))
+
+
+def nearest_label(cells: DataFrame, labelled: DataFrame, label: str, radius: int) -> DataFrame:
+    """(i, j, label, d2): for cells within a radius of a labelled one, the nearest's label (the least of
+    equals). Labelled cells send themselves over a disc; one aggregation with map-side combining."""
+    disc = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
+    to = F.explode(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), F.lit(a * a + b * b).alias("d2")) for a, b in disc]))
+    sent = labelled.select(to.alias("_t"), F.col(label).alias("_l")).select("_t.i", "_t.j", "_t.d2", "_l")
+    best = sent.groupBy("i", "j").agg(F.min(F.struct("d2", "_l")).alias("_b"))
+    return cells.select("i", "j").join(best, ["i", "j"]).select("i", "j", F.col("_b._l").alias(label), F.col("_b.d2").alias("d2"))
+
+
+def narrowed(pairs: DataFrame, made_for: float, radius: float) -> DataFrame:
+    """Pairs (with d2) found for one radius, used again for a smaller one; a larger one is refused."""
+    if radius > made_for:
+        raise ValueError("the pairs do not reach that far")
+    return pairs.where(F.col("d2") <= radius * radius)

@@ -169,3 +169,57 @@ def test_empty_grid(spark):
     assert grid.steepest(none).count() == 0
     assert raster.near(none, F.col("h") > 0, 1).count() == 0
     assert iterate.fold_changes(none.withColumn("s", F.lit(0.0)).withColumn("d", F.lit(0.0)), "h", "s", "d").count() == 0
+
+
+def test_greedy_accept_is_the_sequential_walk(spark):
+    import numpy as np
+
+    from tessella.operators import selection
+
+    p = np.random.default_rng(3).uniform(size=(300, 3))
+    old = np.array([[0.5, 0.5, 0.5]])
+    kept: list[int] = []
+    for k in range(len(p)):
+        others = np.vstack([old, p[kept]])
+        if (((others - p[k]) ** 2).sum(axis=1) > 0.15**2).all():
+            kept.append(k)
+    rows = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "id long, x double, y double, z double")
+    there = spark.createDataFrame([tuple(map(float, old[0]))], "x double, y double, z double")
+    got = selection.greedy_accept(rows, "id", ["x", "y", "z"], 0.15, there).collect()
+    assert sorted(r["id"] for r in got) == kept
+    assert selection.greedy_accept(rows.where("id < 0"), "id", ["x", "y", "z"], 0.15).count() == 0
+
+
+def test_spread_sample_is_even_and_reproducible(spark):
+    import numpy as np
+
+    from tessella.operators import selection
+
+    a = np.array([tuple(r) for r in selection.spread_sample(spark, 60, 8, 1).orderBy("id").collect()])
+    b = np.array([tuple(r) for r in selection.spread_sample(spark, 60, 8, 1).orderBy("id").collect()])
+    assert (a == b).all() and np.allclose((a[:, 1:] ** 2).sum(axis=1), 1)
+    one = np.array([tuple(r) for r in selection.spread_sample(spark, 60, 1, 1).orderBy("id").collect()])
+    closest = lambda p: (p[:, 1:] @ p[:, 1:].T - 2 * np.eye(60)).max()
+    assert closest(a) < closest(one)
+
+
+def test_ice_spreads_from_the_top_down(spark):
+    import numpy as np
+
+    from tessella.operators import ice
+
+    rng = np.random.default_rng(5)
+    z, w, icy = rng.uniform(0, 100, (9, 7)), rng.uniform(-1, 1, (9, 7)), rng.uniform(size=(9, 7)) < 0.7
+    acc = np.zeros_like(z)
+    off = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+    for c in np.argsort(-z, axis=None):
+        i, j = divmod(int(c), 7)
+        acc[i, j] = max(0.0, acc[i, j] + w[i, j])
+        low = [(a, b, (z[i, j] - z[a, b]) / (2**0.5 if k % 2 else 1)) for k, (a, b) in ((k, (i + d, j + e)) for k, (d, e) in enumerate(off)) if 0 <= a < 9 and 0 <= b < 7 and z[a, b] < z[i, j]]
+        if icy[i, j]:
+            for a, b, s in low:
+                acc[a, b] += acc[i, j] * s / sum(x[2] for x in low)
+    rows = [(i * 7 + j, i, j, float(z[i, j]), float(w[i, j]), bool(icy[i, j])) for i in range(9) for j in range(7)]
+    cells = spark.createDataFrame(rows, "cid long, i long, j long, z double, w double, ice boolean")
+    got = {r["cid"]: r["acc"] for r in ice.spread(cells).collect()}
+    assert np.allclose([got[c] for c in range(63)], acc.ravel())
