@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import settled
+from .graph import roots, settled
 from .grid import D8, SQRT2, edges, scatter, stencil
 
 #: Passes between two materialisations of the state.
@@ -158,3 +158,72 @@ def mask_components(cells: DataFrame, mask: Column) -> DataFrame:
     own = settled(cells.where(mask).select("cid", "i", "j"))
     pairs = edges(own, [], D8[:4]).select(F.col("cid").alias("a"), F.col("nid").alias("b"))
     return components(pairs, own)
+
+
+def thin(cells: DataFrame, mask: Column, most: int = 1000) -> DataFrame:
+    """(cid, i, j) of a mask thinned to lines one cell wide (Zhang and Suen): two kinds of sub-iterations
+    take off border cells, each judged on the state before it, until neither finds any."""
+    # neighbours in a ring from the north, clockwise: i is the row
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    state = settled(cells.where(mask).select("cid", "i", "j"))
+    for _ in range(most):
+        taken = 0
+        for odd in (False, True):
+            wide = stencil(state.withColumn("m", F.lit(1)), ["m"], ring, keep=["cid"])
+            p = [F.coalesce(F.col(f"m_{k}"), F.lit(0)) for k in range(8)]
+            around, turns = F.lit(0), F.lit(0)
+            for k in range(8):
+                around = around + p[k]
+                turns = turns + F.when((p[k] == 0) & (p[(k + 1) % 8] == 1), 1).otherwise(0)
+            n, e, s, w = p[0], p[2], p[4], p[6]
+            sides = (n * e * w == 0) & (n * s * w == 0) if odd else (n * e * s == 0) & (e * s * w == 0)
+            gone = around.between(2, 6) & (turns == 1) & sides
+            marked = settled(wide.select("cid", "i", "j", gone.alias("gone")))
+            taken += marked.where("gone").count()
+            state = marked.where("not gone").select("cid", "i", "j")
+        if not taken:
+            return state
+    raise RuntimeError("the mask did not thin out")
+
+
+def rings(cells: DataFrame, mask: Column, most: int = 60) -> DataFrame:
+    """Boundary rings of a mask's cells: ring, seq, x, y. Cells' sides without a neighbour of the mask are
+    directed edges with the mask on their left in (x = i, y = j); chained end to start, at a pinch to the
+    right, so that blocks that touch at a corner are one ring (and holes that do are two). Outer rings have a
+    positive area, holes a negative one. A ring is named by its least edge and begins there (i under 2^30 and j
+    under 2^31, neither negative); chains close by pointer doubling, as
+    many joins as the longest ring's length has bits."""
+    # side: (neighbour, start corner, end corner), counter-clockwise
+    sides = [((0, -1), (0, 0), (1, 0)), ((1, 0), (1, 0), (1, 1)), ((0, 1), (1, 1), (0, 1)), ((-1, 0), (0, 1), (0, 0))]
+    own = settled(cells.where(mask).select("i", "j"))
+    wide = stencil(own.withColumn("m", F.lit(1)), ["m"], [s[0] for s in sides])
+    made = [
+        F.when(
+            F.col(f"m_{k}").isNull(),
+            F.struct((F.col("i") + a[0]).alias("x"), (F.col("j") + a[1]).alias("y"), (F.col("i") + b[0]).alias("ex"), (F.col("j") + b[1]).alias("ey"), F.lit(k).alias("dir")),
+        )
+        for k, (_, a, b) in enumerate(sides)
+    ]
+    edge = wide.select(F.explode(F.filter(F.array(*made), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    # an edge's key, one long, orders edges by start, then direction
+    edge = settled(edge.withColumn("key", F.shiftleft(F.col("x").cast("long"), 33) + F.col("y") * 4 + F.col("dir")))
+    after = edge.select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("dir").alias("nd"), F.col("key").alias("nxt"))
+    turn = F.pmod(F.col("nd") - F.col("dir") + 1, F.lit(4))  # 0 to the right, 1 straight on, 2 to the left
+    hop = edge.join(after, ["ex", "ey"]).groupBy("key").agg(F.min(F.struct(turn.alias("t"), "nxt")).alias("b"))
+    state = settled(hop.select("key", F.col("b.nxt").alias("p"), F.least("key", F.col("b.nxt")).alias("low")))
+    nexts = settled(state.select("key", F.col("p").alias("nxt")))
+    for _ in range(most):
+        far = state.select(F.col("key").alias("p"), F.col("p").alias("pp"), F.col("low").alias("l2"))
+        new = settled(state.join(far, "p").select("key", F.col("pp").alias("p"), F.least("low", "l2").alias("low"), (F.col("l2") < F.col("low")).alias("moved")))
+        still = not new.where("moved").isEmpty()
+        state = new.select("key", "p", "low")
+        if not still:
+            break
+    # distance to the end of the ring, cut before its least edge, gives the order
+    named = nexts.join(state.select("key", "low"), "key")
+    chain = named.select("key", F.when(F.col("nxt") == F.col("low"), F.col("key")).otherwise(F.col("nxt")).alias("down"), "low")
+    left = roots(chain, "key", "down").select("key", "depth")
+    out = chain.join(left, "key")
+    size = out.groupBy("low").agg(F.max("depth").alias("last"))
+    out = out.join(size, "low").join(edge.select("key", "x", "y"), "key")
+    return out.select(F.col("low").alias("ring"), (F.col("last") - F.col("depth")).alias("seq"), "x", "y")

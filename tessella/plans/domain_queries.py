@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import noise
-from ..operators import aggregate, grid, ice, jobs, joins, raster, selection
+from ..operators import aggregate, basins, grid, ice, jobs, joins, raster, selection, windows
 from ..operators.graph import settled
-from .registry import CLOUD, ELEV, ELEVN, NBR, NBRN, cloud, elev, query, r6, with_rain
+from ..sources import images
+from .registry import CLOUD, ELEV, ELEVN, NBR, NBRN, OFF, cloud, elev, query, r6, with_rain
 
 # --- noise ---------------------------------------------------------------------------------------
 
@@ -192,19 +193,20 @@ def g18_ice_routing(spark, sf_dir):
 
 
 WINDOWS = f"""{ELEV}, t AS (SELECT range AS t FROM range(60)),
-x AS (SELECT e.cid, e.i, e.j, e.h, a.t AS ti, b.t AS tj, least(e.i - a.t * 15 + 1, 20 - e.i + a.t * 15, e.j - b.t * 15 + 1, 20 - e.j + b.t * 15) AS edge
+x AS (SELECT e.cid, e.i, e.j, sqrt(e.h) AS h, a.t AS ti, b.t AS tj, least(e.i - a.t * 15 + 1, 20 - e.i + a.t * 15, e.j - b.t * 15 + 1, 20 - e.j + b.t * 15) AS edge
   FROM elev e JOIN t a ON e.i >= a.t * 15 AND e.i < a.t * 15 + 20 JOIN t b ON e.j >= b.t * 15 AND e.j < b.t * 15 + 20)"""
 
 
 @query(f"""WITH {WINDOWS}, m AS (SELECT ti, tj, avg(h) AS m FROM x GROUP BY ALL), f AS (SELECT *, least(edge / 6.0::DOUBLE, 1.0) AS f FROM x JOIN m USING (ti, tj))
 SELECT i, j, round(sum(f * f * (3 - 2 * f) * (h - m)) / sum(f * f * (3 - 2 * f)), 6) AS h FROM f GROUP BY i, j""")
 def i14_windowed_jobs(spark, sf_dir):
-    """A job in every overlapping window (its own mean taken off), cross-faded where windows overlap."""
+    """A job in every overlapping window (its own mean of root heights taken off: heights in cents would
+    round at ties), cross-faded where windows overlap."""
     def job(rows):
         w = Window.partitionBy("ti", "tj")
         return rows.withColumn("h", F.col("h") - F.avg("h").over(w))
 
-    out = jobs.run_windows(elev(spark, sf_dir)[0].select("i", "j", "h"), 20, 15, 5, "h", job)
+    out = jobs.run_windows(elev(spark, sf_dir)[0].select("i", "j", F.sqrt("h").alias("h")), 20, 15, 5, "h", job)
     return out.select("i", "j", r6(F.col("h"), "h"))
 
 
@@ -247,3 +249,57 @@ def q12_channel_metrics(spark, sf_dir):
     per = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("out").alias("out"))
     share = F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)) / F.sum("n")
     return per.agg(F.sum("n").alias("channel_cells"), F.count(F.lit(1)).alias("components"), r6(share, "connected"))
+
+
+# --- basins, lines and images --------------------------------------------------------------------
+
+
+def _links(spark, sf_dir):
+    c = elev(spark, sf_dir)[0]
+    return c, settled(grid.steepest(c).select("cid", "i", "j", "down"))
+
+
+@query(None)
+def g9_partition(spark, sf_dir):
+    """Basins split at 40 cells, then those under 6 merged over their longest borders; tests hold both steps
+    against walks of the tree."""
+    c, links = _links(spark, sf_dir)
+    split = settled(basins.split_oversize(links, 40))
+    out = split.where("cid = basin").join(links.select("cid", "down"), "cid").select(F.col("basin"), F.col("down").alias("cid"))
+    drains = out.join(split.withColumnRenamed("basin", "into"), "cid").select("basin", "into")
+    return basins.merge_undersize(split, grid.edges(c, []), drains, 6, 40).groupBy("basin").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query(None)
+def g14_flood_with_slope(spark, sf_dir):
+    c, height, width = elev(spark, sf_dir)
+    border = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == height - 1) | (F.col("j") == width - 1)
+    return basins.flood_with_slope(c.withColumn("seed", border), 0.01, 64)
+
+
+@query(None)
+def r13_thin(spark, sf_dir):
+    c = elev(spark, sf_dir)[0]
+    wide = grid.focal(c, "h", 2, "avg", "m")
+    return raster.thin(c.join(wide, ["i", "j"]), F.col("m") > 260000).select("cid")
+
+
+@query(f"""WITH {ELEV}, {OFF}, m AS (SELECT i, j FROM elev WHERE h > 150000),
+s AS (SELECT count(*) AS sides FROM m CROSS JOIN off o LEFT JOIN m n ON n.i = m.i + o.di AND n.j = m.j + o.dj WHERE k % 2 = 0 AND n.i IS NULL)
+SELECT (SELECT sides FROM s)::BIGINT AS sides, (SELECT count(*) FROM m)::DOUBLE AS area""")
+def r14_ring_totals(spark, sf_dir):
+    """All rings of a mask: their edges are the mask's open sides, their signed areas sum to its cells."""
+    r = settled(raster.rings(elev(spark, sf_dir)[0], F.col("h") > 150000))
+    area = windows.ring_area(r, ["ring"], "seq", "x", "y").agg(F.sum("area").cast("double").alias("area"))
+    return r.agg(F.count(F.lit(1)).alias("sides")).crossJoin(area)
+
+
+@query(f"WITH {ELEV} SELECT cid, (rain * 100)::INT AS value FROM elev")
+def s8_image_round_trip(spark, sf_dir):
+    """Tiles of 25 x 25 cells to 16-bit images and back."""
+    c = with_rain(spark, sf_dir, elev(spark, sf_dir)[0])
+    wide = c.agg((F.max("j") + 1).alias("w")).first()["w"]
+    tiles = c.select(F.floor(F.col("i") / 25).alias("ti"), F.floor(F.col("j") / 25).alias("tj"), "i", "j", (F.col("rain") * 100).alias("v"))
+    back = images.from_images(images.to_images(tiles, ["ti", "tj"], "v"), ["ti", "tj"])
+    cid = (F.col("ti") * 25 + F.col("i")) * wide + F.col("tj") * 25 + F.col("j")
+    return back.select(cid.alias("cid"), "value").join(c.select("cid"), "cid", "left_semi")
