@@ -187,7 +187,7 @@ def thin(cells: DataFrame, mask: Column, most: int = 1000) -> DataFrame:
 
 
 def rings(cells: DataFrame, mask: Column, most: int = 60) -> DataFrame:
-    """Boundary rings of a mask's cells: ring, seq, x, y. Cells' sides without a neighbour of the mask are
+    """Boundary rings of a mask's cells: ring, seq, x, y, and the next corner ex, ey. Cells' sides without a neighbour of the mask are
     directed edges with the mask on their left in (x = i, y = j); chained end to start, at a pinch to the
     right, so that blocks that touch at a corner are one ring (and holes that do are two). Outer rings have a
     positive area, holes a negative one. A ring is named by its least edge and begins there (i under 2^30 and j
@@ -225,5 +225,11 @@ def rings(cells: DataFrame, mask: Column, most: int = 60) -> DataFrame:
     left = roots(chain, "key", "down").select("key", "depth")
     out = chain.join(left, "key")
     size = out.groupBy("low").agg(F.max("depth").alias("last"))
-    out = out.join(size, "low").join(edge.select("key", "x", "y"), "key")
-    return out.select(F.col("low").alias("ring"), (F.col("last") - F.col("depth")).alias("seq"), "x", "y")
+    out = out.join(size, "low").join(edge.select("key", "x", "y", "ex", "ey"), "key")
+    return out.select(F.col("low").alias("ring"), (F.col("last") - F.col("depth")).alias("seq"), "x", "y", "ex", "ey")
+
+
+def ring_areas(ring_rows: DataFrame) -> DataFrame:
+    """(ring, sides, area) of rings' edges: one aggregation with map-side combining, however long a ring is."""
+    twice = F.col("x") * F.col("ey") - F.col("ex") * F.col("y")
+    return ring_rows.groupBy("ring").agg(F.count(F.lit(1)).alias("sides"), (F.sum(twice) / 2).alias("area"))

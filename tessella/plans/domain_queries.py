@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import noise
-from ..operators import aggregate, basins, grid, ice, jobs, joins, raster, selection, windows
+from ..operators import aggregate, basins, grid, ice, jobs, joins, raster, selection
 from ..operators.graph import settled
 from ..sources import images
 from .registry import CLOUD, ELEV, ELEVN, NBR, NBRN, OFF, cloud, elev, query, r6, with_rain
@@ -284,14 +284,13 @@ def r13_thin(spark, sf_dir):
     return raster.thin(c.join(wide, ["i", "j"]), F.col("m") > 260000).select("cid")
 
 
-@query(f"""WITH {ELEV}, {OFF}, m AS (SELECT i, j FROM elev WHERE h > 150000),
+@query(f"""WITH {ELEV}, {OFF}, m AS (SELECT i, j FROM elev WHERE h > 420000),
 s AS (SELECT count(*) AS sides FROM m CROSS JOIN off o LEFT JOIN m n ON n.i = m.i + o.di AND n.j = m.j + o.dj WHERE k % 2 = 0 AND n.i IS NULL)
 SELECT (SELECT sides FROM s)::BIGINT AS sides, (SELECT count(*) FROM m)::DOUBLE AS area""")
 def r14_ring_totals(spark, sf_dir):
     """All rings of a mask: their edges are the mask's open sides, their signed areas sum to its cells."""
-    r = settled(raster.rings(elev(spark, sf_dir)[0], F.col("h") > 150000))
-    area = windows.ring_area(r, ["ring"], "seq", "x", "y").agg(F.sum("area").cast("double").alias("area"))
-    return r.agg(F.count(F.lit(1)).alias("sides")).crossJoin(area)
+    per = raster.ring_areas(raster.rings(elev(spark, sf_dir)[0], F.col("h") > 420000))
+    return per.agg(F.sum("sides").alias("sides"), F.sum("area").cast("double").alias("area"))
 
 
 @query(f"WITH {ELEV} SELECT cid, (rain * 100)::INT AS value FROM elev")

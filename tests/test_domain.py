@@ -27,7 +27,7 @@ def test_rings_of_blocks_and_of_a_hole(spark):
     m = np.zeros((6, 6), bool)
     m[1:5, 1:5] = True
     m[2:4, 2:4] = False
-    got = windows.ring_area(raster.rings(masked(spark, m), F.lit(True)), ["ring"], "seq", "x", "y").collect()
+    got = raster.ring_areas(raster.rings(masked(spark, m), F.lit(True))).collect()
     assert sorted(x["area"] for x in got) == [-4, 16]
     assert raster.rings(masked(spark, m).where("cid < 0"), F.lit(True)).count() == 0
 
