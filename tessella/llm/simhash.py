@@ -17,12 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, durable, gather, hex64, signed, text_chunks
+from .common import LOWER, U64, durable, gather, hex64, mix, powers, shingles, signed, text_chunks, words
 from .components import connected_components
 
 BITS = 64
 #: Node pairs that one step of a walk expands.
 FRONTIER = 1 << 17
+#: What the near-duplicate stage takes as copies: the words of a shingle and the least exact Jaccard.
+LIKE_WORDS, LIKENESS = 5, 0.8
+#: Its candidates: greatest Hamming distance, and bands of so many least hashes each (a pair shares one).
+LIKE_BITS, BANDS, BAND_ROWS = 20, 20, 4
 
 
 def text_fingerprints(texts: list[bytes], shingle_words: int = 3, seed: int = 42) -> np.ndarray:
@@ -197,33 +201,204 @@ def simhash_components(
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the least id stays, of rows with one id
-    any one. Rows without an id stay unless their class has a member with one. Texts are shuffled once,
-    to leave out the ids that go (not at all while those ids are few enough to be broadcast)."""
-    classes = durable(simhash_components(docs, id_col, text_col, budget))
-    named = classes.where(F.col("doc_id").isNotNull())
-    going = named.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_going")).distinct()
-    kept = docs.join(going, docs[id_col] == F.col("_going"), "left_anti")
-    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
-    if not classes.where(F.col("doc_id").isNull()).isEmpty():
-        alone = classes.groupBy("fp").agg(F.max("component_id").alias("c")).where("c is null").select("fp").withColumnRenamed("fp", "_fp")
-        nameless = kept.where(F.col(id_col).isNull())
-        marked = nameless.mapInArrow(_with_print(docs, text_col), T.StructType([*docs.schema.fields, T.StructField("_own", T.LongType())]))
-        nameless = marked.join(alone, F.col("_own") == F.col("_fp")).dropDuplicates(["_own"]).select(*docs.columns)
-        kept = kept.where(F.col(id_col).isNotNull()).unionByName(nameless)
-    return kept
-
-
-def _with_print(docs: DataFrame, text_col: str):
+def _shingle_sets(column: pa.Array):
+    """For each run of texts: (first row, texts in it, owner, hash), the distinct LIKE_WORDS-word shingles of
+    every text, ordered by text, then hash. Texts of fewer words have one shingle, all of them."""
+    for i, j, offsets, data in text_chunks(column):
+        _, _, row, hashes = words(offsets, data)
+        at, h = shingles(row, hashes, LIKE_WORDS)
+        own = row[at]
+        counts = np.bincount(row, minlength=j - i)
+        short = np.flatnonzero((counts > 0) & (counts < LIKE_WORDS))
+        if len(short):
+            table = powers(0xD6E8FEB86659FD93, LIKE_WORDS + 1)[1:]
+            begin = np.cumsum(counts) - counts
+            whole = [mix((hashes[begin[r] : begin[r] + counts[r]] * table[: counts[r]]).sum(keepdims=True) + U64(counts[r]))[0] for r in short]
+            own, h = np.concatenate([own, short]), np.concatenate([h, np.array(whole, U64)])
+        order = np.lexsort((h, own))
+        own, h = own[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
+        yield i, j - i, own[new], h[new]
+
+
+def _set_keys(n: int, own: np.ndarray, h: np.ndarray):
+    """(key, texts with shingles, start of each): the key is one number for a text's whole set, zero for none."""
+    key = np.zeros(n, U64)
+    some, begin = np.unique(own, return_index=True)
+    if len(some):
+        key[some] = mix(np.add.reduceat(mix(h), begin) + np.diff(np.append(begin, len(h))).astype(U64))
+    return key, some, begin
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, fp, bands of every row: the SimHash of the text's set of shingles, and a number for each
+    band of least hashes."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    turns = powers(0x9E3779B97F4A7C15, BANDS * BAND_ROWS + 1)[1:] | U64(1)
+
+    def run(batches):
+        for batch in batches:
+            for i, n, own, h in _shingle_sets(batch.column(1)):
+                key, some, begin = _set_keys(n, own, h)
+                fp, bands = np.zeros(n, U64), [None] * n
+                if len(some):
+                    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+                    sizes = np.diff(np.append(begin, len(h)))
+                    fp[some] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(U64)
+                    made = np.zeros((len(some), BANDS), U64)
+                    for b in range(BANDS):
+                        for t in turns[b * BAND_ROWS : (b + 1) * BAND_ROWS]:
+                            made[:, b] = mix(made[:, b] + np.minimum.reduceat(h * t, begin))
+                        made[:, b] = mix(made[:, b] + U64(b))
+                    for r, line in zip(some.tolist(), signed(made.ravel()).reshape(made.shape)):
+                        bands[r] = line
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, n), pa.array(signed(key)), pa.array(signed(fp)), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "key", "fp", "bands"],
+                )
+
+    return rows.mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
+
+
+def _candidate_links(nodes: DataFrame) -> DataFrame:
+    """Spanning edges (u, v) of the graph of keys that share a band and differ in at most LIKE_BITS bits."""
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = nodes.select("key", "fp", F.explode("bands").alias("band")).repartition(parts, "band")
+
+    def run(batches):
+        got = gather(batches, "band", "key", "fp")
+        if not got:
+            return
+        order = np.argsort(got[0], kind="stable")
+        band, key, fp = (c[order] for c in got)
+        fp = fp.astype(np.int64).view(U64)
+        edge = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
+        many = np.flatnonzero(np.diff(edge) > 1)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(edge[many].tolist(), edge[many + 1].tolist()):
+            left, queue = np.arange(lo, hi), []
+            while len(left):
+                if not queue:
+                    queue, left = [left[0]], left[1:]
+                at = queue.pop()
+                near = np.bitwise_count(fp[left] ^ fp[at]) <= LIKE_BITS
+                if near.any():
+                    u.append(key[left[near]])
+                    v.append(np.full(int(near.sum()), key[at]))
+                    queue += left[near].tolist()
+                    left = left[~near]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def like_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """The least index of each set's component, over links of sets whose Jaccard is at least LIKENESS.
+    sets: distinct hashes each. A set meets those not yet reached, through an index of their hashes."""
+    n = len(sets)
+    label, sizes = np.full(n, -1), np.array([len(s) for s in sets])
+    left = np.arange(n)
+    built, queue = None, []
+    while len(left):
+        if not queue:
+            root, left = left[0], left[1:]
+            label[root], queue = root, [root]
+        if not len(left):
+            break
+        if built is None or 2 * len(left) < built:
+            built = len(left)
+            hashes = np.concatenate([sets[i] for i in left])
+            owner = np.repeat(left, sizes[left])
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+        at = queue.pop()
+        a, b = np.searchsorted(hashes, sets[at], "left"), np.searchsorted(hashes, sets[at], "right")
+        many = b - a
+        where = np.repeat(a - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[where], minlength=n)[left]
+        near = both * (1 + LIKENESS) >= LIKENESS * (sizes[at] + sizes[left]) - 1e-9
+        if near.any():
+            label[left[near]] = label[at]
+            queue += left[near].tolist()
+            left = left[~near]
+    return label
+
+
+def like_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, and (key, root) of the classes: keys of shingle sets, linked where their
+    exact Jaccard is at least LIKENESS. Sets that share a band of least hashes and lie within LIKE_BITS are
+    candidates; every candidate class is then linked by its sets themselves."""
+    marked = durable(_marked(docs, id_col, text_col))
+    nodes = marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("bands is not null")
+    found = durable(connected_components(_candidate_links(nodes)))
+    holders = marked.join(found.select(F.col("node").alias("key")), "key", "left_semi").select("doc_id").distinct()
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    texts = texts.join(holders.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+
+    def sets(batches):
+        for batch in batches:
+            for _, n, own, h in _shingle_sets(batch.column(0)):
+                key, some, begin = _set_keys(n, own, h)
+                end = np.append(begin[1:], len(h))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(key[some])), pa.array([h[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())], pa.binary())],
+                    names=["key", "hashes"],
+                )
+
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    members = texts.mapInArrow(sets, "key long, hashes binary").join(found.withColumnRenamed("node", "key"), "key")
+    dealt = members.repartition(parts, "root").sortWithinPartitions("root", "key")
+
+    def link(batches):
+        root, keys, held = None, [], []
+
+        def flush():
+            names = [keys[i] for i in like_sets(held).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64())], names=["key", "root"])
+
+        for batch in batches:
+            for k, h, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if r != root:
+                    if keys:
+                        yield flush()
+                    root, keys, held = r, [], []
+                if not keys or keys[-1] != k:
+                    keys.append(k)
+                    held.append(np.frombuffer(h.as_py(), U64))
+        if keys:
+            yield flush()
+
+    return marked.select("doc_id", "key"), durable(dealt.select("key", "hashes", "root").mapInArrow(link, "key long, root long"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each class of like_classes the row with the least id stays (rows
+    without an id come last), of rows with one id and one set any one. Unlike texts under one id are rows of
+    their own. Texts are shuffled once, to leave out the rows that go (not at all while those are few enough
+    to be broadcast)."""
+    marked, classes = like_classes(docs, id_col, text_col)
+    rows = marked.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).join(classes, "key", "left")
+    rows = durable(rows.select("doc_id", "key", "n", F.coalesce("root", "key").alias("root")))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("f"))
+    going = rows.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("key") == F.col("f.key"))))
+    going = going.select(F.col("doc_id").alias("_id"), F.col("key").alias("_going"))
+    keyed = docs.mapInArrow(_with_key(docs, text_col), T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())]))
+    kept = keyed.join(going, (F.col("_key") == F.col("_going")) & keyed[id_col].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    if not rows.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_key"])
+    return kept.select(*[kept[c] for c in docs.columns])
+
+
+def _with_key(docs: DataFrame, text_col: str):
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(at)]
-            own = signed(text_fingerprints(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "_own"])
+            own = [np.zeros(0, U64)]
+            own += [_set_keys(n, owner, h)[0] for _, n, owner, h in _shingle_sets(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(np.concatenate(own)))], names=[*batch.schema.names, "_key"])
 
     return run
 

@@ -309,3 +309,26 @@ def test_pipeline(spark, data):
 def test_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_near_dedup_stage_takes_five_word_jaccard(spark):
+    import random
+
+    random.seed(5)
+    rows, n = [], 0
+    for size, edits in ((200, 1), (200, 2), (200, 4), (1000, 20), (200, 16), (60, 1), (3, 0)):
+        for _ in range(12):
+            text = [f"w{random.randint(0, 99999)}" for _ in range(size)]
+            copy = [*text]
+            for at in random.sample(range(size), edits):
+                copy[at] = f"e{random.randint(0, 99999)}"
+            rows += [(n, " ".join(text)), (n + 1, " ".join(copy))]
+            n += 2
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))})
+    want = {i for i in range(n) if i % 2 == 0 or len(sets[i] & sets[i - 1]) < 0.8 * len(sets[i] | sets[i - 1])}
+    assert 84 < len(want) < n
+    got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == want
