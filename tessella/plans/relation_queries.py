@@ -308,19 +308,19 @@ def w1_running_mean(spark, sf_dir):
     return windows.running_mean(e, ["user_id"], ["ts", "event_id"], "value", 2).select("event_id", r6(F.col("mean"), "mean"))
 
 
-@query("""WITH c AS (SELECT event_id, value, sum(value) OVER (ORDER BY event_id) AS hi, sum(value) OVER () AS t FROM events WHERE value > 0 AND event_id < 1000)
+@query("""WITH c AS (SELECT event_id, value, sum(value) OVER (ORDER BY event_id) AS hi, sum(value) OVER () AS t FROM events WHERE value > 0)
 SELECT event_id, (ceil(round(hi / t * 100 - 0.5, 9)) - ceil(round((hi - value) / t * 100 - 0.5, 9)))::BIGINT AS draws FROM c WHERE ceil(round(hi / t * 100 - 0.5, 9)) > ceil(round((hi - value) / t * 100 - 0.5, 9))""")
 def w3_systematic_sampling(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 0 and event_id < 1000")
+    e = table(spark, sf_dir, "events").where("value > 0")
     return windows.spawn(e, "value", "event_id", 100)
 
 
-@query("""WITH e AS (SELECT user_id, ts, event_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id < 20),
+@query("""WITH e AS (SELECT user_id, ts, event_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 p AS (SELECT *, coalesce(lag(x) OVER w, x) AS p0, coalesce(lead(x) OVER w, x) AS p2, coalesce(lead(x, 2) OVER w, lead(x) OVER w, x) AS p3, lead(r) OVER w IS NULL AS last FROM e WINDOW w AS (PARTITION BY user_id ORDER BY r))
 SELECT user_id, r, s AS step, round(0.5 * (2 * x + (p2 - p0) * (s / 4.0) + (2 * p0 - 5 * x + 4 * p2 - p3) * (s / 4.0) * (s / 4.0) + (3 * x - p0 - 3 * p2 + p3) * (s / 4.0) * (s / 4.0) * (s / 4.0)) + 0.00000001, 6) AS x
 FROM p, range(4) t(s) WHERE NOT last OR s = 0""")
 def w4_catmull_rom(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 20")
+    e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = e.select("user_id", F.row_number().over(w).alias("r"), F.col("value").alias("x"))
     return windows.catmull_rom(e, ["user_id"], "r", ["x"], 4).select("user_id", "r", "step", r6(F.col("x") + 0.00000001, "x"))
@@ -337,11 +337,11 @@ def w6_step_lookup(spark, sf_dir):
     return windows.lookup_steps(table(spark, sf_dir, "part"), "p_size", [(10, 1.0), (25, 2.5), (40, 4.0)], "hardness").select("p_partkey", "hardness")
 
 
-RING = """ring AS (SELECT o_custkey AS id, o_orderkey AS k, (o_orderkey % 97)::DOUBLE AS x, (o_orderkey % 89)::DOUBLE AS y FROM orders WHERE o_custkey % 10 = 0)"""
+RING = """ring AS (SELECT o_custkey AS id, o_orderkey AS k, (o_orderkey % 97)::DOUBLE AS x, (o_orderkey % 89)::DOUBLE AS y FROM orders)"""
 
 
 def _ring(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 97).cast("double").alias("x"), (F.col("o_orderkey") % 89).cast("double").alias("y"))
 
 
@@ -391,13 +391,13 @@ def w12_densify(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT min(epoch_us(ts)) AS lo FROM events), e AS (SELECT user_id % 100 AS k, epoch_us(ts) AS t, max(event_id) AS event_id FROM events GROUP BY 1, 2),
-q AS (SELECT o_custkey % 100 AS k, lo + o_orderkey * 1000003 AS t, o_orderkey FROM orders, b WHERE o_orderkey < 500)
+q AS (SELECT o_custkey % 100 AS k, lo + o_orderkey * 1000003 AS t, o_orderkey FROM orders, b)
 SELECT q.o_orderkey, e.event_id FROM q ASOF LEFT JOIN e ON q.k = e.k AND q.t >= e.t""")
 def s15_as_of(spark, sf_dir):
     """The newest event at or before a time, for each of many times: one sort, no range join."""
     e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 100).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")).agg(F.max("event_id").alias("event_id"))
     lo = e.agg(F.min("ts").alias("lo"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 500").crossJoin(F.broadcast(lo))
+    o = table(spark, sf_dir, "orders").crossJoin(F.broadcast(lo))
     o = o.select((F.col("o_custkey") % 100).alias("k"), (F.col("lo") + F.col("o_orderkey") * 1000003).alias("at"), "o_orderkey")
     return windows.as_of(o, e, ["k"], "at", "ts", ["event_id"]).select("o_orderkey", "event_id")
 
