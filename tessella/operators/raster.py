@@ -73,14 +73,14 @@ def diffuse(cells: DataFrame, value: str, rate: float, steps: int) -> DataFrame:
     return out
 
 
-def chamfer(cells: DataFrame, source: Column, most: int) -> DataFrame:
-    """(cid, d): 3-4 chamfer distance to the source cells, up to `most` (others are left out). The
-    frontier grows by one cell a round; each round touches the cells reached so far."""
+def chamfer(cells: DataFrame, source: Column) -> DataFrame:
+    """(cid, d): 3-4 chamfer distance to the source cells, over the grid's cells; those that no way leads to
+    a source from are left out. Rounds go on until one changes nothing: as many as the longest way has cells."""
     far = settled(cells.select("cid", "i", "j", F.when(source, F.lit(0)).alias("d")))
     front = far.where("d is not null")
-    for _ in range(most // 3):
+    while True:
         step = F.explode(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), (F.col("d") + (4 if a and b else 3)).alias("d")) for a, b in D8]))
-        near = front.select(step.alias("t")).select("t.*").where(F.col("d") <= most).groupBy("i", "j").agg(F.min("d").alias("nd"))
+        near = front.select(step.alias("t")).select("t.*").groupBy("i", "j").agg(F.min("d").alias("nd"))
         nxt = settled(far.join(near, ["i", "j"], "left").select("cid", "i", "j", "d", "nd"))
         front = nxt.where("nd is not null and (d is null or nd < d)").select("cid", "i", "j", F.col("nd").alias("d"))
         if front.isEmpty():

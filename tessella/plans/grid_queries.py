@@ -349,13 +349,13 @@ def r5_diffusion(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {ELEV}, {OFF}, s AS (SELECT cid, i, j FROM elev WHERE h < 60000),
 d AS (SELECT e.cid, min(3 * greatest(abs(e.i - s.i), abs(e.j - s.j)) + least(abs(e.i - s.i), abs(e.j - s.j))) AS d
-  FROM elev e JOIN s ON abs(e.i - s.i) <= 12 AND abs(e.j - s.j) <= 12 GROUP BY e.cid)
-SELECT e.cid, d.d::BIGINT AS d FROM elev e JOIN d USING (cid) WHERE d.d <= 36""")
+  FROM elev e CROSS JOIN s GROUP BY e.cid)
+SELECT e.cid, d.d::BIGINT AS d FROM elev e JOIN d USING (cid)""")
 def r6_chamfer(spark, sf_dir):
-    """3-4 chamfer distance to the sea, up to twelve cells."""
+    """3-4 chamfer distance to the sea, however far it is."""
     from ..operators.raster import chamfer
 
-    out = chamfer(elev(spark, sf_dir)[0], F.col("h") < 60000, 36)
+    out = chamfer(elev(spark, sf_dir)[0], F.col("h") < 60000)
     return out.select("cid", F.col("d").cast("long").alias("d"))
 
 

@@ -150,3 +150,24 @@ def test_merged_basins_keep_every_cell(spark, data):
 
 def grid_cells(spark, data):
     return spark.read.parquet(f"{data}/orders.parquet").count()
+
+
+def test_chamfer_reaches_all_of_a_large_land(spark):
+    m = np.ones((24, 40), bool)  # land, with the sea at one side and a wall of missing cells
+    m[2:, 20] = False
+    cells = masked(spark, m)
+    got = {(r["i"], r["j"]): r["d"] for r in raster.chamfer(cells, F.col("j") == 0).collect()}
+    want = {(i, 0): 0 for i in range(24)}
+    todo = [(0, c) for c in want]
+    while todo:
+        d, (i, j) = heapq.heappop(todo)
+        if d > want[i, j]:
+            continue
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                c, nd = (i + a, j + b), d + (4 if a and b else 3)
+                if (a or b) and 0 <= c[0] < 24 and 0 <= c[1] < 40 and m[c] and nd < want.get(c, 1 << 30):
+                    want[c] = nd
+                    heapq.heappush(todo, (nd, c))
+    assert max(want.values()) > 100 and len(want) == m.sum()
+    assert got == want
