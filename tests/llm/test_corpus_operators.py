@@ -332,3 +332,10 @@ def test_near_dedup_stage_takes_five_word_jaccard(spark):
     assert 84 < len(want) < n
     got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_near_dedup_stage_with_unlike_texts_under_one_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, two), (7, three), (7, f"{two} {three}"), (None, three), (None, "alone")]
+    got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, one), (5, two), (7, three), (7, f"{two} {three}"), (None, "alone")])
