@@ -281,15 +281,15 @@ def g14_flood_with_slope(spark, sf_dir):
 def r13_thin(spark, sf_dir):
     c = elev(spark, sf_dir)[0]
     wide = grid.focal(c, "h", 2, "avg", "m")
-    return raster.thin(c.join(wide, ["i", "j"]), F.col("m") > 260000).select("cid")
+    return raster.thin(c.join(wide, ["i", "j"]), F.col("m") > 150000).select("cid")
 
 
-@query(f"""WITH {ELEV}, {OFF}, m AS (SELECT i, j FROM elev WHERE h > 420000),
+@query(f"""WITH {ELEV}, {OFF}, m AS (SELECT i, j FROM elev WHERE h > 150000),
 s AS (SELECT count(*) AS sides FROM m CROSS JOIN off o LEFT JOIN m n ON n.i = m.i + o.di AND n.j = m.j + o.dj WHERE k % 2 = 0 AND n.i IS NULL)
 SELECT (SELECT sides FROM s)::BIGINT AS sides, (SELECT count(*) FROM m)::DOUBLE AS area""")
 def r14_ring_totals(spark, sf_dir):
     """All rings of a mask: their edges are the mask's open sides, their signed areas sum to its cells."""
-    per = raster.ring_areas(raster.rings(elev(spark, sf_dir)[0], F.col("h") > 420000))
+    per = raster.ring_areas(raster.rings(elev(spark, sf_dir)[0], F.col("h") > 150000))
     return per.agg(F.sum("sides").alias("sides"), F.sum("area").cast("double").alias("area"))
 
 

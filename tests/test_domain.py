@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import basins, raster, windows
-from tessella.plans import params
+from tessella.plans import domain_queries, params
 from tessella.sources import images
 
 
@@ -171,3 +171,8 @@ def test_chamfer_reaches_all_of_a_large_land(spark):
                     heapq.heappush(todo, (nd, c))
     assert max(want.values()) > 100 and len(want) == m.sum()
     assert got == want
+
+
+def test_ring_totals_of_a_thick_mask(spark, data):
+    got = domain_queries.r14_ring_totals(spark, data).first()
+    assert got["area"] > 0.5 * spark.read.parquet(f"{data}/orders.parquet").count()
