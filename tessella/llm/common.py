@@ -19,10 +19,13 @@ _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set (tests)."""
+    """The shared folder the cluster names. Where none is set: one of our own in local mode (tests), and an
+    error on a cluster, whose machines share no folder that we could choose."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -62,9 +65,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def source_ref(df: DataFrame, *names: str) -> list:
-    """Columns by exact name, so that extra columns which differ only in kind never clash."""
-    return [df[n] for n in names]
+def positional(docs: DataFrame, *names: str) -> tuple[DataFrame, ...]:
+    """docs with its columns named c0, c1, ... by place, and the new names of the given ones (by exact name,
+    the first of its kind): whatever a caller's columns are called, none meets a working column."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain, *[f"c{docs.columns.index(n)}" for n in names]
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Each name, with underscores after it until no column in `taken` is called so, in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:

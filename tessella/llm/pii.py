@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_names, positional
+
 KINDS = ("email", "ip", "card", "phone")
 FENCE, STAND_IN = "\ue000", "\ue001"
 #: The strict patterns. Possessive, so that no long text makes the matcher recurse or
@@ -41,6 +43,10 @@ HINTS = (
 )
 AGAINST = r"(?i)\b(version|isbn|order|total|date|page|item|ref|article|no)\b"
 CONTEXT = 24
+#: Elements that a running reduction appends one by one, and code points of a text's blocks.
+CHUNK, BLOCK = 256, 1024
+#: A number over 255, whatever its length and leading zeros.
+LARGE = r"(?<![0-9])0*+(?:[1-9][0-9]{3}|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])"
 FEATURES = (
     "kind", "digits", "signs", "groups", "longest", "luhn", "small", "hint", "against", "masked", "opens", "label", "beside",
 )
@@ -49,23 +55,53 @@ ROUNDS, DEPTH, RATE, CUTS = 40, 3, 0.3, 16
 EXAMPLES, THRESHOLD = 4000, 0.9
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value worked out once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op) -> Column:
+    """For each element of an array of int, op over all elements before it (0 before the first). An array
+    grows by copying, so elements are appended within chunks, and then once for each chunk."""
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def step(acc, x):
+        return F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def over(parts):
+        ahead = F.aggregate(F.transform(parts, lambda p: p["at"]), zero, step)["out"]
+        return F.flatten(F.zip_with(parts, ahead, lambda p, a: F.transform(p["out"], lambda x: op(a, x))))
+
+    def of(v):
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(CHUNK))
+        return let(F.transform(firsts, lambda i: F.aggregate(F.slice(v, i, CHUNK), zero, step)), over)
+
+    return let(values, of)
+
+
+def blocks(text: Column) -> Column:
+    """A text in pieces of BLOCK code points: a short piece is then cut out without a walk from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut_out(pieces: Column, start: Column, n: Column) -> Column:
+    """n code points from `start` of a text in blocks, or as many as there are."""
+    first, last = (F.floor(x / BLOCK).cast("int") for x in (start, start + n - 1))
+    joined = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    return F.when(n > 0, F.substring(joined, start - first * BLOCK + 1, n)).otherwise(F.lit(""))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, s>> of a pattern's matches, leftmost first, in code points."""
     safe = F.replace(text, F.lit(FENCE), F.lit(STAND_IN))
-    parts = F.split(F.regexp_replace(safe, pattern, FENCE + "$0" + FENCE), FENCE, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
-
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        here = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("s"))
-        return F.struct(
-            end.alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out"),
-        )
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    def of(parts):
+        starts = running(F.transform(parts, lambda p: F.length(p)), lambda x, y: x + y)
+        spans = F.zip_with(parts, starts, lambda p, a: F.struct(a.alias("start"), (a + F.length(p)).alias("end"), p.alias("s")))
+        return F.filter(spans, lambda x, i: i % 2 == 1)  # between an odd fence and the next lies a match
+
+    return let(F.split(F.regexp_replace(safe, pattern, FENCE + "$0" + FENCE), FENCE, -1), of)
 
 
 def _if(test: Column, spans: Column) -> Column:
@@ -88,8 +124,8 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _small_parts(s: Column) -> Column:
-    """Whether all runs of digits are at most 255 (leading zeros do not count)."""
-    return F.forall(F.regexp_extract_all(s, F.lit("([0-9]+)"), F.lit(1)), lambda p: p.cast("decimal(38,0)").isNotNull() & (p.cast("decimal(38,0)") <= 255))
+    """Whether all runs of digits, of any length, are at most 255 (leading zeros do not count)."""
+    return ~s.rlike(LARGE)
 
 
 def base_spans(text: Column) -> Column:
@@ -130,11 +166,28 @@ def proposals(text: Column) -> Column:
     )
 
 
-def span_features(text: Column, c: Column) -> Column:
-    """A struct of doubles, named as FEATURES, for a proposed span c of a text."""
+def apart(base: Column, near: Column) -> Column:
+    """The spans of `near` that overlap none of `base`, in one pass over both: a proposal meets the furthest
+    end of the base spans that start before it ends."""
+    none = F.lit(None).cast("struct<start:int,kind:int,end:int,s:string>")
+    events = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("side"), b["end"].alias("reach"), none.alias("c"))),
+        F.transform(near, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("side"), F.lit(0).alias("reach"), c.alias("c"))),
+    )
+
+    def of(e):
+        reach = running(F.transform(e, lambda x: x["reach"]), lambda x, y: F.greatest(x, y))
+        met = F.zip_with(e, reach, lambda x, r: F.struct(x["c"].alias("c"), ((x["side"] == 0) & (r <= x["c"]["start"])).alias("free")))
+        return F.transform(F.filter(met, lambda x: x["free"]), lambda x: x["c"])
+
+    return let(F.array_sort(events), of)
+
+
+def span_features(pieces: Column, c: Column) -> Column:
+    """A struct of doubles, named as FEATURES, for a proposed span c of a text in blocks."""
     s, kind = c["s"], c["kind"]
-    left = F.substring(text, F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT)))
-    right = F.substring(text, c["end"] + 1, F.lit(2))
+    left = cut_out(pieces, F.greatest(c["start"] - CONTEXT, F.lit(0)), F.least(c["start"], F.lit(CONTEXT)))
+    right = cut_out(pieces, c["end"], F.lit(2))
     hint = F.lit(False)
     for k, pattern in enumerate(HINTS):
         hint = hint | ((kind == k) & left.rlike(pattern))
@@ -318,7 +371,7 @@ def calibrate(model: Trees, x: np.ndarray, y: np.ndarray, threshold: float = THR
 def example_features(spark: SparkSession, n: int = EXAMPLES):
     """(features, y, id) of the made examples' candidates of their own kind; n bounds the rows read."""
     rows = examples(spark, n).withColumn("c", F.explode(F.filter(proposals(F.col("text")), lambda c: c["kind"] == F.col("kind"))))
-    rows = rows.select("id", "y", span_features(F.col("text"), F.col("c")).alias("f")).orderBy("id").collect()
+    rows = rows.select("id", "y", span_features(blocks(F.col("text")), F.col("c")).alias("f")).orderBy("id").collect()
     x = np.array([list(r["f"]) for r in rows], float).reshape(-1, len(FEATURES))
     return x, np.array([r["y"] for r in rows], float), np.array([r["id"] for r in rows])
 
@@ -338,27 +391,33 @@ def fitted(spark: SparkSession, n: int = EXAMPLES, threshold: float = THRESHOLD)
 # --- operators ---------------------------------------------------------------------------------
 
 
+def _spanned(docs: DataFrame, text_col: str, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
+    """docs by place with base and spans, and the text's column."""
+    model = fitted(docs.sparkSession, threshold=threshold)
+    plain, t = positional(docs, text_col)
+    out = plain.withColumn("pii", F.coalesce(plain[t].cast("string"), F.lit("")))
+    out = out.withColumns({"base": base_spans(F.col("pii")), "near": proposals(F.col("pii"))})
+    out = out.withColumn("near", F.when(F.size("near") > 0, apart(F.col("base"), F.col("near"))))
+    scored = let(
+        blocks(F.col("pii")),
+        lambda p: F.transform("near", lambda c: F.struct(c.alias("c"), span_features(p, c).alias("f"))),
+    )
+    out = out.withColumn("near", F.when(F.size("near") > 0, scored))
+    passed = F.transform(F.filter("near", lambda x: model.column(x["f"]) >= model.cut), lambda x: x["c"])
+    out = out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(passed, F.slice("base", 1, 0)))))
+    return out.drop("pii", "near"), t
+
+
 def with_spans(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with base and spans, arrays of struct<start, kind, end, s>: the strict patterns' spans, and
     those with the accepted proposals (which overlap no base span), both by start and kind.
 
     Positions are code points, ends exclusive; kind is an index of KINDS. Null and empty texts have
-    empty arrays. Rows are kept as they are, in number and in their other columns.
+    empty arrays. Rows are kept as they are, in number and in their other columns; where docs has a
+    column base or spans, the added one has an underscore after its name. The work is linear in the text
+    and its matches, but for sorting. Empty tables give empty results.
     """
-    model = fitted(docs.sparkSession, threshold=threshold)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    out = docs.withColumn("_pii", text).withColumns({"base": base_spans(F.col("_pii")), "_near": proposals(F.col("_pii"))})
-    fresh = F.filter(
-        "_near", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    )
-    out = out.withColumn("_near", fresh)
-    scored = F.transform(
-        "_near", lambda c: F.struct(c.alias("c"), span_features(F.col("_pii"), c).alias("f"))
-    )
-    out = out.withColumn("_near", F.when(F.size("_near") > 0, scored))
-    passed = F.transform(F.filter("_near", lambda x: model.column(x["f"]) >= model.cut), lambda x: x["c"])
-    out = out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(passed, F.slice("base", 1, 0)))))
-    return out.drop("_pii", "_near")
+    return _spanned(docs, text_col, threshold)[0].toDF(*docs.columns, *free_names(docs.columns, "base", "spans"))
 
 
 def printed(spans: Column) -> Column:
@@ -376,8 +435,8 @@ def printed(spans: Column) -> Column:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and
     spans (all). Repeated rows and null ids stay; an empty table gives an empty result."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = with_spans(rows).select("doc_id", "base", "spans")
+    plain, i, t = positional(docs, id_col, text_col)
+    rows = with_spans(plain.select(plain[i].alias("doc_id"), plain[t].alias("text"))).select("doc_id", "base", "spans")
     counts = {
         f"n_{name}": F.size(F.filter("base", _is(k))).cast("long") for k, name in enumerate(KINDS)
     }
@@ -390,29 +449,30 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with every maximal union of overlapping spans replaced by [KIND] of its first span."""
+    """text with every maximal union of overlapping spans (by start) replaced by [KIND] of its first span."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        more = F.array(gap, F.element_at(names, s["kind"] + 1))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= acc["at"]) | (acc["at"] == 0), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"),
-        )
 
-    return F.aggregate(
-        spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    )
+    def of(s):
+        reach = running(F.transform(s, lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+        met = F.zip_with(s, reach, lambda x, r: F.struct(r.alias("lo"), x["start"].alias("hi"), x["kind"].alias("kind")))
+        heads = F.filter(met, lambda h: h["hi"] >= h["lo"])  # what no span before reaches into
+
+        def write(p):
+            out = F.transform(heads, lambda h: F.concat(cut_out(p, h["lo"], h["hi"] - h["lo"]), F.element_at(names, h["kind"] + 1)))
+            end = F.array_max(F.transform(s, lambda x: x["end"]))
+            return F.concat(F.array_join(out, ""), cut_out(p, end, F.length(text) - end))
+
+        return let(blocks(text), write)
+
+    return F.when(F.size(spans) > 0, let(spans, of)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the personal data of its texts replaced; length_col, if any, is brought in line. Null
-    texts stay null; rows and other columns stay as they are."""
-    out = with_spans(docs, text_col).drop("base")
-    clean = F.when(F.size("spans") > 0, redacted(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))
-    out = out.withColumn(text_col, clean)
+    texts stay null; rows and other columns, whatever they are called, stay as they are."""
+    out, t = _spanned(docs, text_col)
+    out = out.withColumn(t, redacted(F.col(t), F.col("spans")))
     if length_col:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+        n = docs.columns.index(length_col)
+        out = out.withColumn(f"c{n}", F.length(t).cast(docs.schema[n].dataType))
+    return out.drop("base", "spans").toDF(*docs.columns)
