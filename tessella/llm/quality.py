@@ -6,7 +6,8 @@ toxicity. Sites are two-level, host and path. Each level's share of fit document
 Beta posterior whose prior is centred on the level above (path on host, host on the whole corpus) and
 whose strength comes from the spread between sites by the method of moments (empirical Bayes), so
 that sparse sites shrink toward the global prior. Sites' sums come from one grouped aggregation with
-map-side combining over all documents. Posterior log odds = prior log odds of the path + evidence.
+map-side combining over all documents; a document's own share is taken out of them again for its own
+prior. Posterior log odds = prior log odds of the path + evidence.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SIGNS, SPACE, U64, durable, mix, text_chunks, words
+from .common import SIGNS, SPACE, U64, durable, free_names, mix, positional, text_chunks, words
 
 #: Most labelled documents that the classifier is fitted on, chosen by a hash of their ids.
 MAX_TRAINING_ROWS = 6000
@@ -29,6 +30,7 @@ BUCKETS = 2 * WORD_BUCKETS
 #: Most words that a head uses, and the least score in standard errors that makes one telling.
 MAX_WORDS, LEAST_Z = 384, 4.0
 THRESHOLD = 0.5
+RESULTS = ("host_share", "path_share", "evidence", "posterior", "keep")
 #: Most sites whose table is sent to every task; beyond, documents meet it by a salted join.
 BROADCAST_SITES = 50_000
 SALTS = 32
@@ -200,10 +202,10 @@ def fit(
     return Model(*heads, float(np.log(base / (1 - base))))
 
 
-def with_probability(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_p") -> DataFrame:
-    """docs with the classifier's probability that a document is fit, in a column of that name."""
-    if name in docs.columns:
-        raise ValueError(f"docs has a column {name}")
+def with_probability(docs: DataFrame, model: Model, text_col: str = "text", name: str = "p") -> DataFrame:
+    """docs with the classifier's probability that a document is fit, in a column of that name, or with
+    underscores after it where docs has one."""
+    (name,) = free_names(docs.columns, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType(), False)])
     at = docs.columns.index(text_col)
 
@@ -223,13 +225,33 @@ def _strength(between: float, mean: float, within: float, sites: float, rows: fl
     return float(min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6))
 
 
-def site_posteriors(scored: DataFrame, host: Column, path: Column, p: str = "_p") -> DataFrame:
-    """(host, path, n, host_share, path_share) from all scored documents; null sites are sites."""
+@dataclass
+class Priors:
+    """What the whole corpus says: documents, the sum of their probabilities, and the strength of its prior
+    on hosts and of a host's prior on its paths, in documents."""
+
+    n: float
+    s: float
+    on_hosts: float
+    on_paths: float
+
+    def shares(self, p: Column) -> tuple[Column, Column]:
+        """(host_share, path_share) for a document of probability p, from the others alone: each sum (n, s of
+        the path, hn, hs of the host) is taken without p, so that no document speaks twice."""
+        mean = (F.lit(self.s + 0.5) - p) / F.lit(max(self.n, 1.0))
+        mean = F.least(F.greatest(mean, F.lit(1e-6)), F.lit(1 - 1e-6))
+        own = lambda s, n, k, prior: (F.lit(k) * prior + s - p) / (F.lit(k) + n - 1)
+        host = own(F.col("hs"), F.col("hn"), self.on_hosts, mean)
+        return host, own(F.col("s"), F.col("n"), self.on_paths, host)
+
+
+def site_sums(scored: DataFrame, host: Column, path: Column, p: str = "p") -> tuple[DataFrame, Priors]:
+    """((host, path, n, s, hn, hs), priors) from all scored documents; null sites are sites."""
     by = scored.groupBy(host.alias("host"), path.alias("path")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(p).alias("s"), F.sum(F.col(p) * F.col(p)).alias("s2")
     )
-    by = durable(by.withColumnRenamed("host", "h"))  # a row for each site; all that follows reads it, not the texts
-    hosts = by.groupBy(F.col("h").alias("host")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("s2").alias("hs2"))
+    by = durable(by)  # a row for each site; all that follows reads it, not the texts
+    hosts = by.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("s2").alias("hs2"))
     whole = hosts.agg(
         F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum("hs2").alias("s2"), F.count(F.lit(1)).alias("sites"),
         F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("m2"),
@@ -238,14 +260,11 @@ def site_posteriors(scored: DataFrame, host: Column, path: Column, p: str = "_p"
     mean = min(max((whole["s"] or 0.5) / n, 1e-6), 1 - 1e-6)
     within = max((whole["s2"] or 0.0) / n - mean * mean, 0.0)
     k1 = _strength(max((whole["m2"] or 0.0) / n - mean * mean, 0.0), mean, within, whole["sites"], n)
-    hosts = hosts.withColumn("host_share", (F.lit(k1 * mean) + F.col("hs")) / (F.lit(k1) + F.col("hn")))
-    both = by.join(hosts.select("host", "host_share"), by["h"].eqNullSafe(F.col("host")))
-    spread = both.agg(
-        F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("host_share"), 2)).alias("b"), F.count(F.lit(1)).alias("sites")
-    ).first()
+    both = by.join(hosts.select("h", "hn", "hs"), by["host"].eqNullSafe(F.col("h"))).drop("h", "s2")
+    share = (F.lit(k1 * mean) + F.col("hs")) / (F.lit(k1) + F.col("hn"))
+    spread = both.agg(F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - share, 2)).alias("b"), F.count(F.lit(1)).alias("sites")).first()
     k2 = _strength((spread["b"] or 0.0) / n, mean, within, spread["sites"], n)
-    share = (F.lit(k2) * F.col("host_share") + F.col("s")) / (F.lit(k2) + F.col("n"))
-    return both.select(F.col("h").alias("host"), "path", "n", "host_share", share.alias("path_share"))
+    return both, Priors(n, whole["s"] or 0.0, k1, k2)
 
 
 def _logit(p: Column) -> Column:
@@ -265,34 +284,43 @@ def classify(
     broadcast_sites: int = BROADCAST_SITES,
 ) -> DataFrame:
     """docs with the columns host_share, path_share, evidence, posterior and keep (posterior of being
-    fit, at least `threshold`), for every row, repeated ones included.
+    fit, at least `threshold`), for every row, repeated ones included. Where docs has a column of such a
+    name, the added one has an underscore after it.
 
     A document is fit if its quality is 1 and it is not toxic. The path of a document is its host
-    together with path_col. Null texts are empty ones; null hosts and paths are sites of their own.
-    Empty tables give empty results. Texts are read twice, once for the sites' sums and once for the
-    result, and never shuffled unless there are more sites than `broadcast_sites`.
+    together with path_col. Its prior comes from the other documents of its path, host and corpus; a
+    document alone on its site has the level above. Null texts are empty ones; null hosts and paths are
+    sites of their own. Empty tables give empty results. Texts are read twice, once for the sites' sums
+    and once for the result, and never shuffled unless there are more sites than `broadcast_sites`.
     """
+    added = free_names(docs.columns, *RESULTS)
+    return _judged(docs, labels, id_col, text_col, host_col, path_col, threshold, max_rows, broadcast_sites).toDF(*docs.columns, *added)
+
+
+def keep_fit(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that classify keeps, as they are; `how` as there."""
+    names = dict(id_col="doc_id", text_col="text", host_col="source", path_col="lang", threshold=THRESHOLD)
+    names |= dict(max_rows=MAX_TRAINING_ROWS, broadcast_sites=BROADCAST_SITES) | how
+    return _judged(docs, labels, **names).where("keep").drop(*RESULTS).toDF(*docs.columns)
+
+
+def _judged(docs, labels, id_col, text_col, host_col, path_col, threshold, max_rows, broadcast_sites) -> DataFrame:
+    """docs by place, and RESULTS."""
     model = fit(docs, labels, id_col, text_col, max_rows)
-    scored = with_probability(docs, model, text_col)
-    seen = with_probability(docs.select(docs[host_col].alias("_h"), docs[path_col].alias("_l"), docs[text_col].alias("_t")), model, "_t")
-    sites = site_posteriors(seen, F.col("_h"), F.col("_l"))
-    sites = durable(
-        sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_share", "path_share")
-    )
-    same = scored[host_col].eqNullSafe(F.col("_host")) & scored[path_col].eqNullSafe(F.col("_path"))
+    plain, i, t, h, l = positional(docs, id_col, text_col, host_col, path_col)  # noqa: E741
+    seen = with_probability(plain.select(plain[h].alias("h"), plain[l].alias("l"), plain[t].alias("t")), model, "t")
+    sites, priors = site_sums(seen, F.col("h"), F.col("l"))
+    sites = durable(sites)
+    scored = with_probability(plain, model, t)
+    same = scored[h].eqNullSafe(F.col("host")) & scored[l].eqNullSafe(F.col("path"))
     if sites.count() <= broadcast_sites:
         met = scored.join(F.broadcast(sites), same, "left")
     else:
-        salted = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        scored = scored.withColumn("_own", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int"))
-        met = scored.join(salted, same & (F.col("_own") == F.col("_salt")), "left")
-    evidence = _logit(F.col("_p")) - F.lit(model.base)
-    odds = _logit(F.col("path_share")) + evidence
-    return met.select(
-        *[scored[c] for c in docs.columns],
-        "host_share",
-        "path_share",
-        evidence.alias("evidence"),
-        (1 / (1 + F.exp(-odds))).alias("posterior"),
-        (odds >= float(np.log(threshold / (1 - threshold)))).alias("keep"),
-    )
+        salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        scored = scored.withColumn("own", F.pmod(F.xxhash64(i, t), F.lit(SALTS)).cast("int"))
+        met = scored.join(salted, same & (F.col("own") == F.col("salt")), "left")
+    host, path = priors.shares(F.col("p"))
+    evidence = _logit(F.col("p")) - F.lit(model.base)
+    odds = _logit(path) + evidence
+    values = (host, path, evidence, 1 / (1 + F.exp(-odds)), odds >= float(np.log(threshold / (1 - threshold))))
+    return met.select(*plain.columns, *[v.alias(name) for v, name in zip(values, RESULTS)])

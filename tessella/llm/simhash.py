@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, durable, gather, hex64, mix, powers, shingles, signed, text_chunks, words
+from .common import LOWER, U64, durable, gather, hex64, mix, positional, powers, shingles, signed, text_chunks, words
 from .components import connected_components
 
 BITS = 64
@@ -384,11 +384,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("f"))
     going = rows.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("key") == F.col("f.key"))))
     going = going.select(F.col("doc_id").alias("_id"), F.col("key").alias("_going"))
-    keyed = docs.mapInArrow(_with_key(docs, text_col), T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())]))
-    kept = keyed.join(going, (F.col("_key") == F.col("_going")) & keyed[id_col].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    plain, i = positional(docs, id_col)
+    keyed = plain.mapInArrow(_with_key(docs, text_col), T.StructType([*plain.schema.fields, T.StructField("key", T.LongType())]))
+    kept = keyed.join(going, (F.col("key") == F.col("_going")) & keyed[i].cast("long").eqNullSafe(F.col("_id")), "left_anti")
     if not rows.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_key"])
-    return kept.select(*[kept[c] for c in docs.columns])
+        kept = kept.dropDuplicates([i, "key"])
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def _with_key(docs: DataFrame, text_col: str):
@@ -398,7 +399,7 @@ def _with_key(docs: DataFrame, text_col: str):
         for batch in batches:
             own = [np.zeros(0, U64)]
             own += [_set_keys(n, owner, h)[0] for _, n, owner, h in _shingle_sets(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(np.concatenate(own)))], names=[*batch.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(np.concatenate(own)))], names=[*batch.schema.names, "key"])
 
     return run
 

@@ -1,9 +1,12 @@
 """The corpus operators on small tables: contracts, edge cases, nulls, repeated rows, empty tables."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,11 +164,38 @@ def test_quality_edges(spark, docs, none):
 
 def test_shrinkage(spark):
     rows = [("big", "a", 0.9)] * 200 + [("big", "b", 0.2)] * 2 + [("bad", "a", 0.1)] * 200 + [("tiny", "a", 0.0)]
-    sites = quality.site_posteriors(spark.createDataFrame(rows, "h string, l string, _p double"), F.col("h"), F.col("l"))
-    got = {(r["host"], r["path"]): r for r in sites.collect()}
+    sites, priors = quality.site_sums(spark.createDataFrame(rows, "h string, l string, p double"), F.col("h"), F.col("l"))
+    rates = {("big", "a"): 0.9, ("big", "b"): 0.2, ("bad", "a"): 0.1, ("tiny", "a"): 0.0}
+    got = {}
+    for r in sites.select("host", "path", "n", "hn", "s", "hs").collect():
+        one = spark.createDataFrame([(*r, rates[r["host"], r["path"]])], "host string, path string, n double, hn double, s double, hs double, p double")
+        got[r["host"], r["path"]] = one.select(*[c.alias(n) for c, n in zip(priors.shares(F.col("p")), ("host_share", "path_share"))]).first()
     assert abs(got["big", "a"]["path_share"] - 0.9) < 0.05 and abs(got["bad", "a"]["path_share"] - 0.1) < 0.05
-    assert 0.0 < got["tiny", "a"]["host_share"] < 0.5
     assert 0.2 < got["big", "b"]["path_share"] < 0.9
+    # alone on its site a document says nothing of it: what is left is the corpus without it
+    mean = (sum(p for _, _, p in rows) + 0.5) / len(rows)
+    assert got["tiny", "a"]["host_share"] == pytest.approx(mean) == got["tiny", "a"]["path_share"]
+
+
+def test_posteriors_by_brute_force(spark, docs):
+    """Leave-one-out shares and posteriors in plain Python, from the classifier's own probabilities."""
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    rows = quality.with_probability(docs, model).select("doc_id", "source", "lang", "p").collect()
+    _, priors = quality.site_sums(quality.with_probability(docs, model), F.col("source"), F.col("lang"))
+    total, want = sum(r["p"] for r in rows), []
+    for n, r in enumerate(rows):
+        others = [o for m, o in enumerate(rows) if m != n]
+        mean = min(max((total - r["p"] + 0.5) / len(rows), 1e-6), 1 - 1e-6)
+        host = [o["p"] for o in others if o["source"] == r["source"]]
+        path = [o["p"] for o in others if (o["source"], o["lang"]) == (r["source"], r["lang"])]
+        h = (priors.on_hosts * mean + sum(host)) / (priors.on_hosts + len(host))
+        s = (priors.on_paths * h + sum(path)) / (priors.on_paths + len(path))
+        logit = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+        want.append((str(r["doc_id"]), h, s, 1 / (1 + np.exp(-(logit(s) + logit(r["p"]) - model.base)))))
+    got = [(str(r["doc_id"]), r["host_share"], r["path_share"], r["posterior"]) for r in quality.classify(docs, labels).collect()]
+    for a, b in zip(sorted(got), sorted(want)):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1e-9)
 
 
 def test_mixing(spark, docs, none):
@@ -266,6 +296,7 @@ def test_pii_base(spark, none):
     texts = [
         "a@b.c_d@e.f x@y.z. q@q", "1.2.3.4.5.6.7.8 999.1.1.1 01.02.03.004", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111 1111 1111",
         "call +1 (017) 555-7713 now +49 30 1234567.", "é😀 mail ü@x.de é.a@b-c.de", "", None, "9" * 6000, "1 " * 6000, "a." * 4000 + "@x.y", "+1" * 500,
+        "1.2.3." + "9" * 50, "0256.1.1.1 000255.1.1.1 1.1.1.1000 255.255.255.255", "a@b." + "b." * 20000 + "c", "1.2.3.4 " * 700 + "a@b.c ", "+1" + " " * 50000,
         "@.@.@ +( +1 ", "xy a@b.cc ", "1.1.1.1" * 50, "4111111111111111" * 3, "00000000000000",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -277,6 +308,90 @@ def test_pii_base(spark, none):
     assert pii.detect(none).count() == 0
 
 
+def test_pii_in_time_linear_in_the_matches(spark):
+    many = " a@b.c (415) 555-1234 tel" * 40_000  # a second or two; by growing one array: over a minute
+    docs = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    pii.fitted(spark)
+    begin = time.time()
+    got = pii.redact(docs).first()["text"]
+    assert got.startswith(" [EMAIL] (415) 555-1234 tel [EMAIL] [PHONE] tel") or got.startswith(" [EMAIL] [PHONE] tel")
+    assert got.count("[EMAIL]") == 40_000 and time.time() - begin < 40
+
+
+def test_pii_spans_by_brute_force(spark):
+    """Every proposal of the generators, scored by the trees in numpy, and kept if it meets no base span."""
+    texts = [r[1] or "" for r in ROWS] + [
+        "please call 415-555-1234 or write to ann (at) example [dot] org today, a@b.cc",
+        "tel. (030) 555-7713, version 2021-03-04, card 4111.1111.1111.1111 x 4111 1111 1111 1111 host 10[.]1[.]2[.]3",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fitted(spark)
+    rows = docs.select("doc_id", F.explode(pii.proposals(F.col("text"))).alias("c"), "text")
+    rows = rows.select("doc_id", "c", pii.span_features(pii.blocks(F.col("text")), F.col("c")).alias("f")).collect()
+    want = {i: [(a, n, b) for a, n, b in map(base_tuple, base_spans(t).split(",")) if n] for i, t in enumerate(texts)}
+    base = {i: list(v) for i, v in want.items()}
+    for r in rows:
+        c = r["c"]
+        if model.margin(np.array([list(r["f"])]))[0] >= model.cut and all(b <= c["start"] or a >= c["end"] for a, _, b in base[r["doc_id"]]):
+            want[r["doc_id"]].append((c["start"], pii.KINDS[c["kind"]], c["end"]))
+    kinds = {k: n for n, k in enumerate(pii.KINDS)}
+    for r in pii.detect(docs).collect():
+        spans = sorted(want[r["doc_id"]], key=lambda s: (s[0], kinds[s[1]], s[2]))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+
+
+def base_tuple(span):
+    kind, a, b = span.split(":") if span else ("", 0, 0)
+    return int(a), kind, int(b)
+
+
+def test_redaction_writes_each_union_once(spark):
+    rng = random.Random(4)
+    rows, want = [], []
+    for i in range(60):
+        text = "".join(rng.choice("abc é😀") for _ in range(rng.choice([5, 50, 2500])))
+        spans = sorted((a, rng.randrange(4), min(len(text), a + rng.randint(1, 30))) for a in rng.sample(range(len(text)), rng.randint(0, 5)))
+        rows.append((i, text, [dict(start=a, kind=k, end=b, s="") for a, k, b in spans]))
+        out, at = "", 0
+        for a, k, b in spans:
+            if a >= at:
+                out += text[at:a] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, b)
+        want.append(out + text[at:])
+    df = spark.createDataFrame(rows, "id int, text string, spans array<struct<start:int,kind:int,end:int,s:string>>")
+    got = df.select("id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert [r["t"] for r in sorted(got)] == want
+
+
+CLASHES = ["base", "spans", "pii", "near", "_pii", "_near", "_words", "_copy", "copies", "position", "copy_words", "keep", "posterior", "p", "_p",
+           "_host", "_own", "_salt", "_key", "_going", "_id", "key", "root", "c0", "c1", "doc_id_2", "TEXT_"]
+
+
+def test_callers_columns_may_have_any_name(spark, docs):
+    """Names of working and of added columns: the caller's values stay, added columns take a free name."""
+    wide = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no id here")], "item_id long, text string")
+    kept = {
+        "redact": pii.redact(wide), "fit": quality.keep_fit(wide, labels), "one": simhash.keep_one_of_each(wide),
+        "clean": decontam.decontaminate(wide, bench),
+    }
+    for name, out in kept.items():
+        assert out.columns == wide.columns, name
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in CLASHES), name
+    spans = pii.with_spans(wide)
+    assert spans.columns == [*wide.columns, "base_", "spans_"]
+    for few in (0, quality.BROADCAST_SITES):
+        out = quality.classify(wide, labels, broadcast_sites=few)
+        assert out.columns[-2:] == ["posterior_", "keep_"] and out.count() == len(ROWS)
+    order = mixing.training_order(wide)
+    assert order.columns[-2:] == ["copy_words_", "position_"]
+    assert all(r[c] == f"mine {c}" for r in order.collect() for c in CLASHES)
+    assert Counter(tuple(r) for r in mixing.training_order(docs).drop("text").collect()) == Counter(
+        tuple(r) for r in order.select(*[c for c in docs.columns if c != "text"], "copy_words_", "position_").collect()
+    )
+
+
 def test_pii_method_adds_and_redacts(spark, docs):
     rows = [(1, "please call 415-555-1234 or write to ann (at) example [dot] org today"), (2, "version 2021-03-04, isbn 978-3-1614-8410 total 1 234 567")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
