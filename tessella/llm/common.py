@@ -186,5 +186,26 @@ def gather(batches, *names: str) -> list:
     return [pa.chunked_array([p[i] for p in parts]).to_numpy() for i in range(len(names))]
 
 
+def whole_groups(batches, keys: int, *names: str):
+    """Runs of complete groups of a partition that is sorted by its first `keys` columns, as lists of numpy
+    arrays: a batch at a time, the last group held back until its end is seen."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        got = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        if held is not None:
+            got = [np.concatenate([a, b]) for a, b in zip(held, got)]
+        new = np.zeros(len(got[0]), bool)
+        for c in got[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if cut:
+            yield [c[:cut] for c in got]
+        held = [c[cut:] for c in got]
+    if held is not None:
+        yield held
+
+
 def hex64(column):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
