@@ -147,20 +147,32 @@ def words(offsets: np.ndarray, data: np.ndarray, apart: np.ndarray = SPACE, pref
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | first[1:n]
     ends = np.flatnonzero(ends) + 1
-    at = np.flatnonzero(inside)
-    lengths = ends - starts
-    within = np.arange(len(at), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    table = powers(0x9E3779B97F4A7C15, int(lengths.max()))
-    terms = (low[at].astype(U64) + U64(1)) * table[within]
-    begin = np.cumsum(lengths) - lengths
-    hashes = mix(np.add.reduceat(terms, begin) + lengths.astype(U64))
+    # the sum of byte * base ** place over a word is a difference of running sums, turned back to place 0
+    table, back = _places(n)
+    total = np.empty(n + 1, U64)
+    total[0] = 0
+    np.cumsum((low.astype(U64) + U64(1)) * table[:n], out=total[1:])
+    begin, turn = total[starts], back[starts]
+    hashes = mix((total[ends] - begin) * turn + (ends - starts).astype(U64))
     out = starts, ends, np.searchsorted(offsets, starts, "right") - 1, hashes
     if prefix:
-        terms[within >= prefix] = 0
-        out = *out, mix(np.add.reduceat(terms, begin))
+        out = *out, mix((total[np.minimum(ends, starts + prefix)] - begin) * turn)
     return out
 
 
+_BASE = 0x9E3779B97F4A7C15
+_KEPT: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse modulo 2^64, for n places; kept for a chunk's size."""
+    if n > CHUNK_BYTES:
+        return powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
+    if not _KEPT:
+        _KEPT.append((powers(_BASE, CHUNK_BYTES), powers(pow(_BASE, -1, 1 << 64), CHUNK_BYTES)))
+    return _KEPT[0]
+
+
 def shingles(rows: np.ndarray, hashes: np.ndarray, k: int):
     """(first word, hash) of all runs of k words within a row, from the hashes of the words."""
     n = len(hashes) - k + 1
