@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import time
 from collections import Counter
 
@@ -130,6 +131,89 @@ def test_chaining(spark, docs, none):
     assert chaining.fuzzy_passages(none).count() == 0
 
 
+def made(rng, n):
+    return [f"t{rng.randint(0, 9999)}" for _ in range(n)]
+
+
+def linked(spark, rows):
+    out = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    return {(r["doc_id"], r["source_id"]): (r["first_word"], r["n_words"]) for r in out.collect()}
+
+
+@pytest.mark.parametrize("hot", [chaining.HOT, 1])
+def test_chaining_where_other_documents_hold_pieces(spark, hot, monkeypatch):
+    """Copies are found though earlier and later documents hold all of their seeds piecemeal; with seeds
+    matched group by group and by joins."""
+    monkeypatch.setattr(chaining, "HOT", hot)
+    rng = random.Random(3)
+    shared = made(rng, 80)
+    rows = [(500, made(rng, 60) + shared + made(rng, 50)), (501, made(rng, 40) + shared + made(rng, 70))]
+    for i in range(144):
+        at = i * 67 // 143
+        rows.append((i if i % 2 else 1000 + i, made(rng, 50) + shared[at : at + 13] + made(rng, 50)))
+    got = linked(spark, rows)
+    assert list(got) == [(501, 500)] and got[501, 500] == (40, 80)
+    rows, want = [], set()
+    for k in range(40):
+        p, n = made(rng, 60), 10 * k
+        thirds = lambda: made(rng, 30) + p[:20] + made(rng, 30) + p[40:] + made(rng, 30)
+        rows += [(n, thirds()), (n + 1, made(rng, 30) + p + made(rng, 30)), (n + 2, made(rng, 30) + p + made(rng, 30)), (n + 3, thirds())]
+        want.add((n + 2, n + 1))
+    assert set(linked(spark, rows)) == want
+
+
+def test_chaining_within_a_document(spark):
+    rng = random.Random(5)
+    p = made(rng, 60)
+    line = [f"l{i}" for i in range(12)]
+    rows = [(1, made(rng, 20) + p + made(rng, 30) + p + made(rng, 10)), (2, line * 30), (3, made(rng, 400)), (4, p[:40] + made(rng, 9) + p[:40])]
+    got = linked(spark, rows)
+    assert got[1, 1] == (110, 60) and got[2, 2] == (60, 300) and (3, 3) not in got and (4, 4) not in got
+
+
+@pytest.mark.parametrize("identity, least", [(1.0, 1.0), (0.95, 0.97), (0.9, 0.9), (0.85, 0.75)])
+def test_chaining_finds_edited_passages(spark, identity, least):
+    """Passages of 60 words with words changed at random, in documents of their own."""
+    rng = random.Random(int(identity * 100))
+    rows, want = [], set()
+    for k in range(80):
+        p = made(rng, 60)
+        q = [*p]
+        for at in rng.sample(range(60), round(60 * (1 - identity))):
+            q[at] = f"e{rng.randint(0, 99999)}"
+        rows += [(2 * k, made(rng, 100) + p + made(rng, 100)), (2 * k + 1, made(rng, 50) + q + made(rng, 150))]
+        want.add((2 * k + 1, 2 * k))
+    got = set(linked(spark, rows))
+    assert got <= want and len(got) >= least * len(want)
+
+
+def test_chaining_joins_over_an_insertion(spark):
+    rng = random.Random(9)
+    p = made(rng, 90)
+    rows = [(1, made(rng, 30) + p + made(rng, 30)), (2, made(rng, 50) + p[:45] + made(rng, 20) + p[45:] + made(rng, 9))]
+    assert linked(spark, rows) == {(2, 1): (50, 110)}
+
+
+def test_chaining_covers_what_brute_force_finds(spark, data):
+    """All windows of 50 words that an earlier document or place has, over whole texts: each of their words
+    lies in a reported passage, but for those of windows that overlap themselves."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r["doc_id"]: [w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", r["text"].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))) if w] for r in docs.collect() if r["text"]}
+    first, missed, seen = {}, 0, 0
+    spans = {}
+    for r in chaining.fuzzy_passages(docs).collect():
+        spans.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    for d in sorted(texts):
+        w = texts[d]
+        for i in range(len(w) - 49):
+            key = tuple(w[i : i + 50])
+            at = first.setdefault(key, (d, i))
+            if at[0] != d or i - at[1] >= 50:
+                seen += 1
+                missed += not set(range(i, i + 50)) <= spans.get(d, set())
+    assert seen > 300 and missed <= 0.002 * seen
+
+
 def test_simhash(spark, docs, none):
     rows = simhash.simhash_components(docs).collect()
     assert len(rows) == len(ROWS)

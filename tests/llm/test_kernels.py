@@ -124,6 +124,58 @@ def test_common_words_is_the_longest_common_subsequence():
         assert chaining.common_words(u, v) == t[-1][-1]
 
 
+def test_alignment_traces_back_a_longest_common_subsequence():
+    random.seed(14)
+    for trial in range(80):
+        u, v = ([random.randint(0, 6) for _ in range(random.randint(0, 40))] for _ in range(2))
+        pairs = chaining.matched_words(u, v)
+        assert len(pairs) == chaining.common_words(u, v) and all(u[i] == v[j] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+        best = chaining.best_part(pairs)
+        scores = [
+            (n - m + 1 + chaining.UNMATCHED * sum(max(c - a, d - b) - 1 for (a, b), (c, d) in zip(pairs[m:n], pairs[m + 1 : n + 1])))
+            for m in range(len(pairs))
+            for n in range(m, len(pairs))
+        ]
+        if best:
+            i, j = next(x for x, p in enumerate(pairs) if p[0] == best[0]), next(x for x, p in enumerate(pairs) if p[0] == best[1] - 1)
+            got = j - i + 1 + chaining.UNMATCHED * sum(max(c - a, d - b) - 1 for (a, b), (c, d) in zip(pairs[i:j], pairs[i + 1 : j + 1]))
+            assert got == max(scores) and best[4] == j - i + 1
+
+
+def test_partners_are_the_first_and_last_of_seed_and_mark():
+    rng = np.random.default_rng(7)
+    for trial in range(30):
+        n = int(rng.integers(1, 60))
+        seed, sketch = rng.integers(0, 4, n), rng.integers(0, 3, n)
+        doc, place = rng.integers(0, 8, n), (rng.integers(0, 2, n) << 32) | rng.integers(0, 5, n)
+        mark = (seed << chaining.SKETCH_BITS) | sketch
+        order = np.lexsort((place, doc, mark))
+        mark, doc, place = (c[order] for c in (mark, doc, place))
+        here = list(zip(doc.tolist(), place.tolist()))
+        want = set()
+        for i in range(n):
+            for key in (mark >> chaining.SKETCH_BITS, mark):
+                of = [here[j] for j in range(n) if key[j] == key[i]]
+                for other in (min(of), max(of)):
+                    if (other[0], other[1] >> 32) != (here[i][0], here[i][1] >> 32):
+                        want.add((max(here[i], other), min(here[i], other)))
+        x, y = chaining.partners(mark, doc, place)
+        assert {(here[a], here[b]) for a, b in zip(x, y)} == want
+
+
+def test_groups_stay_whole_over_batches():
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(0, 20, 200))
+    table = pa.table({"k": keys, "v": np.arange(200)})
+    for size in (1, 7, 200):
+        got = list(common.whole_groups(table.to_batches(size), 1, "k", "v"))
+        assert np.array_equal(np.concatenate([v for _, v in got]), np.arange(200))
+        seen = [k for ks, _ in got for k in np.unique(ks)]
+        assert len(seen) == len(set(seen))
+    assert list(common.whole_groups([], 1, "k", "v")) == []
+
+
 def test_index_finds_what_brute_force_finds():
     random.seed(6)
     vocabulary = [f"w{i}" for i in range(300)]
