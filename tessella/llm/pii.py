@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, positional
+from .common import free_names, let, positional
 
 KINDS = ("email", "ip", "card", "phone")
 FENCE, STAND_IN = "\ue000", "\ue001"
@@ -55,11 +55,6 @@ ROUNDS, DEPTH, RATE, CUTS = 40, 3, 0.3, 16
 EXAMPLES, THRESHOLD = 4000, 0.9
 
 
-def let(value: Column, body) -> Column:
-    """body(value), the value worked out once however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def running(values: Column, op) -> Column:
     """For each element of an array of int, op over all elements before it (0 before the first). An array
     grows by copying, so elements are appended within chunks, and then once for each chunk."""

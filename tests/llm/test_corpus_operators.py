@@ -351,6 +351,49 @@ def test_spotsigs(spark, docs, none, monkeypatch):
     assert spotsigs.near_duplicates(none).count() == 0
 
 
+def plain_signatures(text):
+    words = [w for w in re.split(spotsigs.APART, text.lower()) if w]
+    content = [n for n, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    out = set()
+    for n, w in enumerate(words):
+        follow = [words[m] for m in content if m > n][: spotsigs.CHAIN]
+        if w in spotsigs.ANCHORS and len(follow) == spotsigs.CHAIN:
+            out.add((w, *follow))
+    return out or {tuple(words)}
+
+
+def test_spotsigs_by_brute_force(spark, monkeypatch):
+    """Fingerprints, likenesses and partitions in plain Python; ids of any size, one far from the others,
+    without, or often the same; buckets cut again."""
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 3)
+    rng = random.Random(2)
+    words = [*spotsigs.ANCHORS[:12], *[f"w{i}" for i in range(9)], "Mat", "é", ""]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 4, 30, 31, 200]))) for _ in range(70)] + ["on the mat big red cat", "the mat big red cat", None]
+    ids = [*range(30), *[7_000] * 25, -6 * 10**18, 6 * 10**18, *range(100, 116)]
+    rows = list(zip(ids, texts))
+    def key(r):
+        return spark.createDataFrame([(r[1] or "",)], "t string").select(F.xxhash64("t")).first()[0] if r[0] == 7_000 else 0
+    order = sorted(rows, key=lambda r: (r[0], key(r), r[1] or ""))
+    def like(a, b):
+        a, b = plain_signatures(a), plain_signatures(b)
+        j = len(a & b) / len(a | b)
+        return j if j >= spotsigs.LEAST_LIKENESS - 1e-12 else 0.0
+    want = []
+    for n, (i, t) in enumerate(order):
+        t, after = t or "", order[(n + 1) % len(order)][1] or ""
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(t, edited), 9), round(like(t, after), 9), len(plain_signatures(t))))
+    got = spotsigs.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r[0], r[1], r[2], round(r[5], 9), round(r[6], 9), len(r[3]) // 16) for r in got) == Counter(want)
+    prints = {}
+    for r in got:
+        prints.setdefault(r["fingerprint"], set()).add(r["doc_id"])
+    assert sum(map(len, prints.values())) <= len(rows)
+    nameless = spark.createDataFrame([(None, t) for t in texts] + [(1, "x")], "doc_id long, text string")
+    assert spotsigs.edited_likeness(nameless).count() == len(texts) + 1
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
