@@ -30,7 +30,9 @@ RULES = (
     ("block", "com/de/"),
 )
 
-LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+#: rel is a list of words in quotes, or one word without.
+LINK = r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?canonical[\"\s]|'(?:[^'>]*\s)?canonical['\s]|canonical[\s/>])[^>]*>?"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 GOES = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -66,9 +68,10 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]],
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v) for every canonical link and meta refresh of the pages. Targets may be absolute, start
-    with // or /, or be relative to the page's folder. Null html or URL: no edge."""
-    url, html = pages[url_col], pages[html_col]
+    """(u, v) for the first canonical link and the first meta refresh of each page, outside of comments.
+    Targets may be absolute, start with // or /, or be relative to the page's folder. Null html or URL: no
+    edge."""
+    url, html = pages[url_col], F.regexp_replace(pages[html_col], COMMENT, "")
     page = pages.select(url.alias("url"), html.alias("html")).where(
         F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv")
     )
@@ -152,38 +155,47 @@ def judge_urls(
     )
 
 
+_SITE = "regexp_extract({0}, '^[^/?#]*://[^/?#]*', 0)"
+#: A URL's node in SQL, as url_key has it.
+_KEY = (
+    f"translate({_SITE}, '{UPPER}', '{LOWER}') || substr({{0}}, length({_SITE}) + 1)"
+).format("split_part({0}, '#', 1)")
+
 #: DuckDB's text of the registered query (columns of op1_url_filters).
 SQL = r"""
 WITH RECURSIVE p AS (
-  SELECT page_id, url, html,
+  SELECT page_id, url,
     CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path FROM p),
+bare AS (SELECT url, regexp_replace(html, '<!--.*?(?:-->|\z)', '', 'gs') AS html FROM pages WHERE url LIKE '%://%'),
 links AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
+  SELECT url, regexp_extract(url, '^[^/?#]*://[^/?#]*', 0) AS site, regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^[^/?#]*://.*/', 0) AS folder, unnest([
+    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical["\s]|''(?:[^''>]*\s)?canonical[''\s]|canonical[\s/>])[^>]*>?', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
     regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')]) AS to_
-  FROM pages WHERE url LIKE '%://%'),
+  FROM bare),
 edges AS (
-  SELECT split_part(url, '#', 1) AS u, split_part(CASE WHEN to_ LIKE '%://%' THEN to_
+  SELECT url AS a, CASE WHEN to_ LIKE '%://%' THEN to_
       WHEN to_ LIKE '//%' THEN regexp_extract(url, '^[^/?#]*:', 0) || to_
-      WHEN to_ LIKE '/%' THEN regexp_extract(url, '^[^/?#]*://[^/?#]*', 0) || to_
-      ELSE regexp_extract(url, '^[^/?#]*://[^?#]*/', 0) || to_ END, '#', 1) AS v
+      WHEN to_ LIKE '/%' THEN site || to_
+      WHEN length(folder) > length(site) THEN folder || to_ ELSE site || '/' || to_ END AS b
   FROM links WHERE to_ <> ''),
-both_ AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
+keys AS (SELECT KEY_A AS u, KEY_B AS v FROM edges),
+both_ AS (SELECT u, v FROM keys WHERE u <> v UNION SELECT v, u FROM keys WHERE u <> v),
 reach(a, b) AS (SELECT u, u FROM both_ UNION SELECT r.a, e.v FROM reach r JOIN both_ e ON r.b = e.u),
 node AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
 said AS (SELECT node, root, CASE WHEN node LIKE '%://%' THEN substr(node, strpos(node, '://') + 3) ELSE '' END AS rest FROM node),
-said2 AS (SELECT root, regexp_extract(rest, '^[^/?#]*', 0) AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path FROM said),
+said2 AS (SELECT node, root, regexp_extract(rest, '^[^/?#]*', 0) AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path FROM said),
 rules(v, r, h, p) AS (VALUES ('allow','org/','org','/'), ('block','example.org/es/','example.org','/es/'),
   ('block','example.org/en/1','example.org','/en/1'), ('allow','com/fr/','com','/fr/'), ('block','com/de/','com','/de/')),
 cls AS (SELECT root, max((v = 'allow')::INT) AS al, max((v = 'block')::INT) AS bl FROM (
-  SELECT s.root, s.host, s.path, max_by(r.v, length(r.r)) AS v FROM said2 s LEFT JOIN rules r
+  SELECT s.node, s.root, max_by(r.v, length(r.r)) AS v FROM said2 s LEFT JOIN rules r
     ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p) GROUP BY ALL) GROUP BY root),
-own AS (SELECT h.page_id, h.host, h.path, split_part(h.url, '#', 1) AS key, max_by(r.r, length(r.r)) AS rule, max_by(r.v, length(r.r)) AS v
-  FROM h LEFT JOIN rules r ON (h.host = r.h OR ends_with(h.host, '.' || r.h)) AND starts_with(h.path, r.p) GROUP BY ALL)
+num AS (SELECT *, row_number() OVER () AS n, KEY_URL AS key FROM h),
+own AS (SELECT n, page_id, host, path, key, max_by(r.r, length(r.r)) AS rule, max_by(r.v, length(r.r)) AS v
+  FROM num LEFT JOIN rules r ON (num.host = r.h OR ends_with(num.host, '.' || r.h)) AND starts_with(num.path, r.p) GROUP BY ALL)
 SELECT o.page_id, o.host, o.path, o.rule,
   coalesce(o.v, CASE WHEN c.al = 1 THEN 'allow' WHEN c.bl = 1 THEN 'block' END, 'allow') AS verdict,
   CASE WHEN o.v IS NOT NULL THEN 'rule' WHEN c.al = 1 OR c.bl = 1 THEN 'alias' ELSE 'default' END AS via
 FROM own o LEFT JOIN node n ON o.key = n.node LEFT JOIN cls c ON n.root = c.root
-"""
+""".replace("KEY_A", _KEY.format("a")).replace("KEY_B", _KEY.format("b")).replace("KEY_URL", _KEY.format("url"))

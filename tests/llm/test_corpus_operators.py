@@ -86,6 +86,31 @@ def test_url_filters(spark):
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filters_equal_their_sql_on_pages_with_links(spark):
+    import duckdb
+    import pandas
+
+    link = '<html><link {} href="{}"></html>'
+    rows = [
+        (1, "https://a.example.org/es/1", "<html></html>"), (2, "https://B.net/x", link.format('rel="canonical"', "https://A.example.org/es/9#top")),
+        (3, "https://c.net/y", '<meta http-equiv="refresh" content="0; url=https://b.NET/x">'), (4, "http://a.net/x", ""),
+        (5, "http://q.net/k", link.format("rel='alternate canonical'", "http://A.net/x")), (6, "http://A.net/x", link.format("rel=canonical", "http://example.com/de/3")),
+        (7, "http://r.net", link.format('rel="canonical"', "k/l?q#z")), (8, "http://r.net/k/l?q", link.format('rel="canonical"', "//example.com/de/7")),
+        (9, "http://s.net/a/b?c=/d", link.format('rel="canonical"', "e")), (10, "http://s.net/a/e", link.format('rel="canonical"', "/es")),
+        (11, "http://t.net/1", "<!-- " + link.format('rel="canonical"', "http://example.com/de/1") + " -->"), (12, "http://t.net/2", "<!-- open " + link.format('rel="canonical"', "http://example.com/de/1")),
+        (13, "http://u.net/1", link.format('rel="noncanonical"', "http://example.com/de/1")), (14, None, None), (14, None, None), (15, "none", "<x>"), (4, "http://a.net/x", ""),
+        (16, "http://s.net/es", link.format('rel="canonical"', "http://x.org/q")), (17, "http://v.net/1", link.format('rel="canonical"', "http://x.com/de/1") + link.format('rel="canonical"', "http://x.org/1")),
+    ]
+    pages = pandas.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = con.sql(f"select page_id, host, path, rule, verdict, via from ({urlfilter.SQL})").fetchall()
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert Counter(map(tuple, got.select("page_id", "host", "path", "rule", "verdict", "via").collect())) == Counter(want)
+    by = {r[0]: r[4:] for r in want}
+    assert by[2] == by[3] == by[5] == by[4] == by[8] == ("block", "alias") and by[9] == ("allow", "alias") and by[11] == by[12] == by[13] == ("allow", "default")
+
+
 def brute_repeats(rows, n):
     counts = Counter(t[i : i + n] for _, t in rows for i in range(len(t) - n + 1))
     out = []
