@@ -190,14 +190,6 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(U64).view(np.int64)
 
 
-def gather(batches, *names: str) -> list:
-    """All rows of a partition, as one numpy array for each column."""
-    parts = [[b.column(n) for n in names] for b in batches if b.num_rows]
-    if not parts:
-        return []
-    return [pa.chunked_array([p[i] for p in parts]).to_numpy() for i in range(len(names))]
-
-
 def whole_groups(batches, keys: int, *names: str):
     """Runs of complete groups of a partition that is sorted by its first `keys` columns, as lists of numpy
     arrays: a batch at a time, the last group held back until its end is seen."""

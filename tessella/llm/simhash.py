@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, durable, gather, hex64, mix, positional, powers, shingles, signed, text_chunks, words
+from .common import LOWER, U64, durable, hex64, mix, positional, powers, shingles, signed, text_chunks, whole_groups, words
 from .components import connected_components
 
 BITS = 64
@@ -158,26 +158,20 @@ def linked_fingerprints(distinct: DataFrame, budget: int = 3) -> DataFrame:
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
-        got = gather(batches, "fp", "block")
-        if not got:
-            return
-        fp, block = got[0].view(U64) if got[0].dtype == np.int64 else got[0].astype(np.int64).view(U64), got[1]
-        for i in range(blocks):
-            own = fp[block == i]
-            if len(own) < 2:
-                continue
-            turn = U64(cuts[i])
-            turned = own if not cuts[i] else (own << turn) | (own >> U64(BITS - cuts[i]))
-            order = np.argsort(turned)
-            keys, own = turned[order], own[order]
-            label = trie_components(keys, budget, cuts[i + 1] - cuts[i])
-            at = np.flatnonzero(label != np.arange(len(label)))
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(own[at])), pa.array(signed(own[label[at]]))], names=["u", "v"]
-                )
-
-    return dealt.repartition(parts, "block", "value").select("fp", "block").mapInArrow(run, "u long, v long")
+        for block, _, fp in whole_groups(batches, 2, "block", "value", "fp"):
+            for i in np.unique(block).tolist():
+                own = fp[block == i].view(U64)
+                turn = U64(cuts[i])
+                turned = own if not cuts[i] else (own << turn) | (own >> U64(BITS - cuts[i]))
+                order = np.argsort(turned)
+                keys, own = turned[order], own[order]
+                label = trie_components(keys, budget, cuts[i + 1] - cuts[i])
+                at = np.flatnonzero(label != np.arange(len(label)))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(own[at])), pa.array(signed(own[label[at]]))], names=["u", "v"])
+
+    dealt = dealt.select("block", "value", "fp").repartition(parts, "block", "value").sortWithinPartitions("block", "value")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def simhash_components(
@@ -265,15 +259,14 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _candidate_links(nodes: DataFrame) -> DataFrame:
     """Spanning edges (u, v) of the graph of keys that share a band and differ in at most LIKE_BITS bits."""
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = nodes.select("key", "fp", F.explode("bands").alias("band")).repartition(parts, "band")
+    dealt = nodes.select(F.explode("bands").alias("band"), "key", "fp").repartition(parts, "band").sortWithinPartitions("band")
 
     def run(batches):
-        got = gather(batches, "band", "key", "fp")
-        if not got:
-            return
-        order = np.argsort(got[0], kind="stable")
-        band, key, fp = (c[order] for c in got)
-        fp = fp.astype(np.int64).view(U64)
+        for got in whole_groups(batches, 1, "band", "key", "fp"):
+            yield linked(*got)
+
+    def linked(band, key, fp):
+        fp = fp.view(U64)
         edge = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
         many = np.flatnonzero(np.diff(edge) > 1)
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -289,7 +282,7 @@ def _candidate_links(nodes: DataFrame) -> DataFrame:
                     v.append(np.full(int(near.sum()), key[at]))
                     queue += left[near].tolist()
                     left = left[~near]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 

@@ -252,6 +252,32 @@ def test_simhash(spark, docs, none):
     assert simhash.keep_one_of_each(none).count() == 0
 
 
+def test_simhash_links_by_brute_force(spark):
+    """The blocks, dealt out and walked, link what all pairs link: fingerprints with planted neighbours, and
+    many that agree in a whole block."""
+    rng = np.random.default_rng(12)
+    seeds = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    near = [s ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))) for s in seeds for _ in range(3)]
+    alike = (seeds[:1] & ~np.uint64(0xFFFF)) | rng.integers(0, 1 << 16, 150, dtype=np.uint64)
+    keys = np.unique(np.concatenate([seeds, np.array(near, np.uint64), alike]))
+    parent = list(range(len(keys)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 3, 1))):
+        parent[find(j)] = find(i)
+    distinct = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long").repartition(5)
+    got = {r["node"]: r["root"] for r in components.connected_components(simhash.linked_fingerprints(distinct)).collect()}
+    classes, want = {}, {}
+    for n, k in enumerate(keys.view(np.int64).tolist()):
+        classes.setdefault(got.get(k, k), set()).add(k)
+        want.setdefault(find(n), set()).add(k)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
+
+
 def test_quality_on_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
