@@ -198,8 +198,10 @@ def fit(
     q, t = ((got.column(c).to_numpy() == 1).astype(float) for c in ("q", "t"))
     fit_rows = q * (1 - t)
     base = (fit_rows.sum() + 1) / (n + 2)
-    heads = (fit_head(table, rows_of, buckets, values, y) for y in (q, t))
-    return Model(*heads, float(np.log(base / (1 - base))))
+    model = Model(*(fit_head(table, rows_of, buckets, values, y) for y in (q, t)), float(np.log(base / (1 - base))))
+    del got, lists, table, rows_of, buckets, values
+    pa.default_memory_pool().release_unused()  # the driver keeps the model alone
+    return model
 
 
 def with_probability(docs: DataFrame, model: Model, text_col: str = "text", name: str = "p") -> DataFrame:
