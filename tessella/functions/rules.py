@@ -84,25 +84,86 @@ def budyko(aridity: Column) -> Column:
     return F.sqrt(a * F.tanh(1 / a) * (1 - F.exp(-a)))
 
 
-BIOMES = (
-    "ice", "tundra", "boreal", "temperate_desert", "grassland", "shrubland", "temperate_forest", "temperate_rainforest",
-    "hot_desert", "savanna", "seasonal_forest", "tropical_rainforest",
-)
+#: Codes of the climate classes.
+BIOMES = {
+    "ice": 1, "tundra": 2, "boreal_forest": 3, "temperate_grassland": 4, "temperate_forest": 5, "temperate_rainforest": 6, "desert": 7,
+    "shrubland": 8, "savanna": 9, "tropical_seasonal_forest": 10, "tropical_rainforest": 11,
+}
+#: Bands of mean temperature (deg C, up to), each with bands of yearly rain (cm, up to).
+ANY = float("inf")
+BANDS = (
+    (-12, ((ANY, "ice"),)),
+    (-2, ((ANY, "tundra"),)),
+    (5, ((20, "tundra"), (ANY, "boreal_forest"))),
+    (13, ((25, "desert"), (60, "temperate_grassland"), (180, "temperate_forest"), (ANY, "temperate_rainforest"))),
+    (20, ((25, "desert"), (60, "shrubland"), (180, "temperate_forest"), (ANY, "temperate_rainforest"))),
+    (ANY, ((30, "desert"), (100, "savanna"), (220, "tropical_seasonal_forest"), (ANY, "tropical_rainforest"))),
+)
+#: Fixed values of the seasonal form: the warmth that trees need (deg C) and for which share of the year, the
+#: swing of a steppe's year (deg C), the summer's share of rain below which winter is the wet season, and
+#: that beyond which rain comes in one season.
+GROWING, GROWING_SHARE, STEPPE_SWING, WET_WINTER, ONE_SEASON = 10.0, 1 / 3, 25.0, 1 / 3, 0.75
+
+
+def banded(x: Column, bands, value) -> Column:
+    """value of the first band whose upper bound lies above x (the last band has none)."""
+    out = None
+    for bound, what in bands[:-1]:
+        out = F.when(x < bound, value(what)) if out is None else out.when(x < bound, value(what))
+    last = value(bands[-1][1])
+    return last if out is None else out.otherwise(last)
 
 
 def biome(t: Column, p: Column) -> Column:
-    """Climate class by temperature (deg C) and rain (cm); the first rule that fits."""
-    code = {b: i for i, b in enumerate(BIOMES)}
-    rules = (
-        (t < -12, "ice"), (t < -2, "tundra"), ((t < 5) & (p < 20), "tundra"), (t < 5, "boreal"),
-        ((t < 20) & (p < 25), "temperate_desert"), ((t < 20) & (p < 60) & (t < 13), "grassland"),
-        ((t < 20) & (p < 60), "shrubland"), ((t < 20) & (p < 180), "temperate_forest"), (t < 20, "temperate_rainforest"),
-        (p < 30, "hot_desert"), (p < 100, "savanna"), (p < 220, "seasonal_forest"),
-    )
-    out = F.when(rules[0][0], code[rules[0][1]])
-    for test, name in rules[1:]:
-        out = out.when(test, code[name])
-    return out.otherwise(code["tropical_rainforest"])
+    """Climate class by mean temperature (deg C) and yearly rain (cm)."""
+    return banded(t, BANDS, lambda rain: banded(p, rain, lambda name: F.lit(BIOMES[name])))
+
+
+def seasonal_biome(t: Column, p: Column, swing: Column, summer: Column | None = None) -> Column:
+    """Climate class with the year in it: swing is the warmest month less the coldest, summer the share of
+    rain that falls in summer (null or left out: unknown). Cold classes go by the warmest month and by
+    how long it is warm; dry temperate land with a continent's year is grassland, with wet winters
+    shrubland; tropical forest with one wet season is the seasonal one."""
+    swing = F.greatest(swing, F.lit(0.5))
+    warmest = t + swing / 2
+    warm_share = F.acos(F.least(F.greatest((GROWING - t) * 2 / swing, F.lit(-1.0)), F.lit(1.0))) / F.lit(math.pi)
+    summer = F.lit(None).cast("double") if summer is None else summer
+    wet_winter = F.coalesce(summer < WET_WINTER, F.lit(False))
+    one_season = F.coalesce((summer > ONE_SEASON) | (summer < 1 - ONE_SEASON), F.lit(False))
+    code = lambda name: F.lit(BIOMES[name])
+    rain = lambda band: dict(BANDS)[band]
+    tropical = F.when((p >= 100) & (p < 220) | (p >= 220) & one_season, code("tropical_seasonal_forest")).otherwise(banded(p, rain(ANY), code))
+    steppe = (t < 13) | (swing > STEPPE_SWING)
+    temperate = (
+        F.when((p >= 25) & (p < 100) & wet_winter & (t >= 10), code("shrubland"))
+        .when(steppe, banded(p, rain(13), code))
+        .otherwise(banded(p, rain(20), code))
+    )
+    return (
+        F.when(warmest < 0, code("ice"))
+        .when(warmest < GROWING, code("tundra"))
+        .when(warm_share < GROWING_SHARE, banded(p, rain(5), code))
+        .when(t >= 20, tropical)
+        .otherwise(temperate)
+    )
+
+
+def kilometres(x: Column, radius_km: float) -> Column:
+    """Kilometres as radians on a sphere."""
+    return x / radius_km
+
+
+def centimetres_a_year(x: Column, radius_km: float, my_per_step: float) -> Column:
+    """cm a year as radians a step: 1 cm a year is 10 km in a million years."""
+    return x * 10.0 * my_per_step / radius_km
+
+
+def steps_of(my: Column, my_per_step: float) -> Column:
+    return my / max(my_per_step, 1e-12)
+
+
+def cell_units(metres: Column, cell_m: float) -> Column:
+    return metres / cell_m
 
 
 def precip_cm(wet: Column, scale: float = 90.0, gamma: float = 1.2, most: float = 400.0) -> Column:

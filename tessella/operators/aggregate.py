@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def _running(df: DataFrame, value: str, weight: Column, by: Sequence[str]) -> DataFrame:
+def running(df: DataFrame, value: str, weight: Column, by: Sequence[str]) -> DataFrame:
     """df with _cw, the running weight in order of value within `by` (equal values in one step), in
     two levels: sums of value buckets, then a window within each."""
-    lo, hi = (f(value).over(Window.partitionBy(*by)) for f in (F.min, F.max))
     part = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")) if by else df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     out = df.join(F.broadcast(part), [*by]) if by else df.crossJoin(F.broadcast(part))  # one row, or one for each group
     span = F.col("_hi") - F.col("_lo")
@@ -30,7 +29,7 @@ def _running(df: DataFrame, value: str, weight: Column, by: Sequence[str]) -> Da
 
 def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """The least value with cumulative weight >= q of the total, for each q and group."""
-    run = _running(df.where(F.col(value).isNotNull()), value, F.col(weight), by)
+    run = running(df.where(F.col(value).isNotNull()), value, F.col(weight), by)
     total = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sum(weight).alias("_t"))
     met = run.join(F.broadcast(total), [*by]) if by else run.crossJoin(F.broadcast(total))
     outs = [F.min(F.when(F.col("_cw") >= q * F.col("_t"), F.col(value))).alias(f"q{round(q * 100)}") for q in qs]
@@ -39,7 +38,7 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: Sequence[floa
 
 def order_statistic(df: DataFrame, value: str, rank: int) -> DataFrame:
     """The value with `rank` smaller ones before it (ties counted), exactly."""
-    run = _running(df, value, F.lit(1), ())
+    run = running(df, value, F.lit(1), ())
     return run.where(F.col("_cw") >= rank + 1).agg(F.min(value).alias(value))
 
 
@@ -115,7 +114,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation, ties at their average rank."""
     def ranked(c: str) -> DataFrame:
         by = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        run = _running(by, c, F.col("_n"), ())
+        run = running(by, c, F.col("_n"), ())
         return run.select(c, (F.col("_cw") - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
 
     met = df.join(ranked(a), a).join(ranked(b), b)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -39,53 +40,62 @@ def merge_plan(sizes: Sequence[tuple[int, int]], into: dict[int, int], contacts:
     """{basin: the basin it becomes part of}. The smallest basin below `least` goes first, into the neighbour
     with the longest border (the least id of equals) with which it stays within `most`; one that has
     none stays. A merge that would let the basin drain into itself through a third one is not made.
-    into: the basin that each drains to."""
-    size = dict(sizes)
-    border: dict[int, dict[int, int]] = {b: {} for b in size}
+    into: the basin that each drains to.
+
+    A union only makes basins larger, so basins are taken size by size: what a size holds is complete when
+    its turn comes. Borders and drains keep the names they were given, and are read through the union.
+    """
+    part, size, drain = {b: b for b, _ in sizes}, dict(sizes), dict(into)
+    borders: dict[int, list[tuple[int, int]]] = {b: [] for b in size}
     for a, b, w in contacts:
-        border[a][b] = border[a].get(b, 0) + w
-        border[b][a] = border[b].get(a, 0) + w
-    out, to = {b: b for b in size}, dict(into)
-    heap = [(n, b) for b, n in size.items() if n < least]
-    heapq.heapify(heap)
-
-    def leads(start: int, goal: int) -> bool:  # by way of others
-        at, seen = to.get(start), set()
-        while at is not None and at not in seen:
-            if at == goal:
-                return to.get(start) != goal
-            seen.add(at)
-            at = to.get(at)
-        return False
-
-    while heap:
-        n, small = heapq.heappop(heap)
-        if size.get(small) != n:
-            continue
-        ranked = sorted(border[small].items(), key=lambda x: (-x[1], x[0]))
-        fits = [b for b, _ in ranked if size[b] + n <= most and not leads(small, b) and not leads(b, small)]
-        if not fits:
-            continue
-        keep = fits[0]
-        size[keep] += size.pop(small)
-        for other, w in border.pop(small).items():
-            border[other].pop(small, None)
-            if other != keep:
-                border[keep][other] = border[other][keep] = border[keep].get(other, 0) + w
-        if to.get(keep) == small:
-            to[keep] = to.get(small)
-        to.pop(small, None)
-        to = {b: keep if t == small else t for b, t in to.items()} if small in to.values() else to
-        out[small] = keep
-        if size[keep] < least:
-            heapq.heappush(heap, (size[keep], keep))
-
-    def last(b: int) -> int:
-        while out[b] != b:
-            b = out[b]
+        borders[a].append((b, w))
+        borders[b].append((a, w))
+    turn: dict[int, list[int]] = {}
+    for b, n in size.items():
+        turn.setdefault(n, []).append(b)
+
+    def now(b: int) -> int:
+        while part[b] != b:
+            part[b] = part[part[b]]
+            b = part[b]
         return b
 
-    return {b: last(b) for b in out}
+    for n in range(least):
+        for small in sorted(turn.pop(n, ())):
+            if now(small) != small or size[small] != n:
+                continue
+            shared = Counter()
+            for b, w in borders[small]:
+                shared[now(b)] += w
+            shared.pop(small, None)
+            below = _later(small, drain, now)
+            for keep in sorted((b for b in shared if size[b] + n <= most), key=lambda b: (-shared[b], b)):
+                if keep not in below and small not in _later(keep, drain, now):
+                    break
+            else:
+                continue
+            part[small] = keep
+            size[keep] += n
+            borders[keep] += borders.pop(small)
+            if keep in drain and now(drain[keep]) == keep:  # it drained into what it has taken in
+                drain.pop(keep)
+                if small in drain:
+                    drain[keep] = drain[small]
+            turn.setdefault(size[keep], []).append(keep)
+    return {b: now(b) for b in part}
+
+
+def _later(b: int, drain: dict[int, int], now) -> set[int]:
+    """What b drains to by way of another."""
+    seen: list[int] = []
+    met = {b}
+    while (b := drain.get(b)) is not None:
+        b = now(b)
+        seen.append(b)
+        if b in met:
+            break
+        met.add(b)
+    return set(seen[1:])
 
 
 def merge_undersize(cells: DataFrame, edges: DataFrame, drains: DataFrame, least: int, most: int) -> DataFrame:

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import heapq
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges of a basin graph that the driver's heap takes.
-MOST_EDGES = 5_000_000
+#: Edges of a basin graph that the driver's heap takes (24 bytes each); larger ones are solved in rounds.
+MOST_EDGES = 1_000_000
+DRAIN = -1
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df materialised in the session's checkpoint folder (spark.checkpoint.dir; else one of our own)."""
+    """df materialised in the session's checkpoint folder: spark.checkpoint.dir, or one of our own in local mode
+    where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
     return df.checkpoint(eager=True)
 
 
@@ -87,13 +93,48 @@ def spill_levels(pairs: list[tuple], drains: set) -> dict:
     return level
 
 
+def spill_levels_in_rounds(pairs: DataFrame, most: int = 64) -> DataFrame:
+    """(root, level): the same minimax levels for graphs of any size. pairs: a, b, w, with DRAIN for the way out.
+
+    Each label leaves by its lowest pair, or stays within a pair that is the lowest of both ends; what is
+    tied together so becomes one label, and a label's level is the highest pair that it left by. Labels
+    at least halve in a round; those tied to DRAIN are done. Labels without a way to it have no row.
+    """
+    pairs = settled(pairs.select("a", "b", "w"))
+    state = pairs.select(F.col("a").alias("root")).unionByName(pairs.select(F.col("b").alias("root"))).distinct().where(F.col("root") != DRAIN)
+    state = settled(state.select("root", F.col("root").alias("now"), F.lit(None).cast("double").alias("level")))
+    done = []
+    for _ in range(most):
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where(F.col("a") != DRAIN)
+        lowest = F.min(F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "b")).alias("x")
+        leaves = settled(both.groupBy("a").agg(lowest).select("a", F.col("x.b").alias("to"), F.col("x.w").alias("w")))
+        if leaves.isEmpty():
+            break
+        back = leaves.select(F.col("a").alias("to"), F.col("to").alias("back"))
+        first = F.col("back").eqNullSafe(F.col("a")) & (F.col("a") < F.col("to"))
+        links = leaves.join(back, "to", "left").select(F.col("a").alias("cid"), F.when(first, F.col("a")).otherwise(F.col("to")).alias("down"))
+        links = links.unionByName(pairs.sparkSession.range(1).select(F.lit(DRAIN).cast("long").alias("cid"), F.lit(DRAIN).cast("long").alias("down")))
+        tied = settled(roots(links).select(F.col("cid").alias("now"), F.col("root").alias("then")))
+        met = state.join(leaves.select(F.col("a").alias("now"), "w"), "now").join(tied, "now")
+        state = settled(met.select("root", F.col("then").alias("now"), F.greatest("level", F.col("w").cast("double")).alias("level")))
+        done.append(state.where(F.col("now") == DRAIN).select("root", "level"))
+        state = state.where(F.col("now") != DRAIN)
+        one, two = (tied.select(F.col("now").alias(c), F.col("then").alias(f"to_{c}")) for c in "ab")
+        pairs = pairs.join(one, "a").join(two, "b").where("to_a <> to_b")
+        pairs = settled(pairs.groupBy(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).agg(F.min("w").alias("w")))
+    out = state.select("root", "level").limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
 def flood(cells: DataFrame, sinks: DataFrame, edges: DataFrame, drains: DataFrame) -> DataFrame:
     """(cid, h, filled): depressions filled to their spill level.
 
     cells: cid, h. sinks: cid, root (the catchment of each cell). edges: cid, nid. drains: cid of cells
     that drain. Catchments that touch are joined at the least of their contacts' higher cell; levels
-    of that small graph come from a heap on the driver (its size is checked), and a cell stands at the
-    higher of itself and its catchment's level.
+    of that small graph come from a heap on the driver if it has at most MOST_EDGES edges, else from rounds
+    over it, and a cell stands at the higher of itself and its catchment's level.
     """
     label = settled(cells.join(sinks.select("cid", "root"), "cid").select("cid", "h", "root"))
     other = label.select(F.col("cid").alias("nid"), F.col("h").alias("nh"), F.col("root").alias("nroot"))
@@ -104,9 +145,10 @@ def flood(cells: DataFrame, sinks: DataFrame, edges: DataFrame, drains: DataFram
     pairs = pairs.unionByName(outs.select(F.lit(-1).cast("long").alias("a"), F.col("root").alias("b"), "w"))
     pairs = settled(pairs)
     if pairs.count() > MOST_EDGES:
-        raise ValueError("the basin graph is too large for the driver's heap")
-    level = spill_levels([tuple(r) for r in pairs.collect()], {-1})
-    table = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in level.items() if k != -1], "root long, level double")
+        table = spill_levels_in_rounds(pairs)
+    else:
+        level = spill_levels([tuple(r) for r in pairs.collect()], {DRAIN})
+        table = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in level.items() if k != DRAIN], "root long, level double")
     out = label.join(table, "root", "left")
     return out.select("cid", "h", F.greatest("h", F.coalesce("level", F.col("h"))).alias("filled"))
 
@@ -140,14 +182,23 @@ def topological_rank(links: DataFrame, node: str = "cid", down: str = "down") ->
     return roots(links, node, down).select(node, F.col("depth").alias("rank"))
 
 
-def exclusive_top(candidates: list[tuple], k: int, least_distance: float) -> list[tuple]:
-    """Greedy top k of (score, id, point) rows, best first, with all accepted at least so far apart."""
+def exclusive_top(candidates: DataFrame, score: str, key: str, at: Sequence[str], k: int, least_distance: float, block: int = 500) -> list[tuple]:
+    """Greedy top k of the candidates as (score, key, point), best first (the least key of equals), with all
+    accepted at least so far apart. Candidates are read from the best down, a block at a time, until k
+    stand or none is left."""
     kept: list[tuple] = []
-    for row in sorted(candidates, key=lambda r: (-r[0], r[1])):
-        if all(sum((a - b) ** 2 for a, b in zip(row[2], o[2])) >= least_distance**2 for o in kept):
-            kept.append(row)
-            if len(kept) == k:
-                break
+    rest = candidates.select(F.col(score).alias("s"), F.col(key).alias("k"), *[F.col(c).alias(f"p{n}") for n, c in enumerate(at)]).where("s is not null")
+    while len(kept) < k:
+        rows = rest.orderBy(F.desc("s"), "k").limit(block).collect()
+        for s, key_, *p in rows:
+            if all(sum((a - b) ** 2 for a, b in zip(p, o[2])) >= least_distance**2 for o in kept):
+                kept.append((s, key_, tuple(p)))
+                if len(kept) == k:
+                    break
+        if len(rows) < block:
+            break
+        s, last = rows[-1][:2]
+        rest = rest.where((F.col("s") < F.lit(s)) | ((F.col("s") == F.lit(s)) & (F.col("k") > F.lit(last))))
     return kept
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import running
+
 
 def running_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, half: int, name: str = "mean") -> DataFrame:
     """Mean over the clamped frame of `half` rows on both sides."""
@@ -119,12 +121,12 @@ def lookup_steps(df: DataFrame, x: str, steps: Sequence[tuple[float, float]], na
 
 def spawn(df: DataFrame, weight: str, key: str, n: int) -> DataFrame:
     """How many of n evenly spaced draws of the cumulative weight fall on each row (in order of key):
-    key and draws, rows without a draw left out. Systematic sampling, with no random state."""
-    w = Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(weight).over(Window.partitionBy(F.lit(0)))
-    out = df.withColumns({"_hi": F.sum(weight).over(w), "_t": total})
-    cut = lambda c: F.ceil(c / F.col("_t") * n - 0.5)
-    return out.select(key, (cut(F.col("_hi")) - cut(F.col("_hi") - F.col(weight))).cast("long").alias("draws")).where("draws > 0")
+    key (a number, unique) and draws, rows without a draw left out. Systematic sampling, with no random
+    state; running sums in two levels."""
+    out = running(df, key, F.col(weight), ())
+    out = out.crossJoin(F.broadcast(df.agg(F.sum(weight).alias("_t"))))  # one row
+    cut = lambda c: F.ceil(F.round(c / F.col("_t") * n - 0.5, 9))
+    return out.select(key, (cut(F.col("_cw")) - cut(F.col("_cw") - F.col(weight))).cast("long").alias("draws")).where("draws > 0")
 
 
 def as_of(queries: DataFrame, states: DataFrame, by: Sequence[str], at: str, stamp: str, values: Sequence[str]) -> DataFrame:

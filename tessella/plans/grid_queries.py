@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import rules
 from ..operators import grid
+from ..operators.graph import settled
 from .registry import CLOUD, ELEV, JAC, N, NBR, OFF, SPHERE, cloud, elev, query, r6, table, with_rain
 
 # --- projections -------------------------------------------------------------------------------
@@ -47,12 +48,22 @@ def p4_metric(spark, sf_dir):
 @query(f"""WITH {SPHERE}, {JAC}, w AS (SELECT *, jux + 0.5 * jvx AS wx, juy + 0.5 * jvy AS wy, juz + 0.5 * jvz AS wz FROM met)
 SELECT cid, round(sqrt(wx * wx + wy * wy + wz * wz), 6) AS length, 1.0::DOUBLE AS a, 0.5::DOUBLE AS b FROM w""")
 def p5_transfer_vector(spark, sf_dir):
-    """A vector taken to 3-D and back: its length, and its components again."""
+    """A tangent vector taken over to a neighbouring face: its length there, and its components once back."""
     c = grid.sphere_cells(spark, N)
     f, u, v = F.col("face"), F.col("u"), F.col("v")
-    a, b = geo.transfer_vector(f, u, v, F.lit(1.0), F.lit(0.5), f, u, v)
-    guu, guv, gvv = geo.metric(f, u, v)
-    return c.select("cid", r6(F.sqrt(guu + guv + gvv * 0.25), "length"), r6(a, "a"), r6(b, "b"))
+    p = [F.col(k) for k in "xyz"]
+    side = lambda x, k: F.when(x >= 0, k).otherwise(k + 1)
+    g = F.when(f < 2, side(p[1], 2)).when(f < 4, side(p[2], 4)).otherwise(side(p[0], 0))
+    c = c.withColumn("g", g)
+    u2, v2 = geo.project_to_face(F.col("g"), p)
+    c = c.withColumns({"u2": u2, "v2": v2})
+    there = (F.col("g"), F.col("u2"), F.col("v2"))
+    c = c.withColumns(dict(zip(("a2", "b2"), geo.transfer_vector(f, u, v, F.lit(1.0), F.lit(0.5), *there))))
+    c = settled(c)  # else each of the many uses of a component would work it out again
+    a2, b2 = F.col("a2"), F.col("b2")
+    guu, guv, gvv = geo.metric(*there)
+    a, b = geo.transfer_vector(*there, a2, b2, f, u, v)
+    return c.select("cid", r6(F.sqrt(guu * a2 * a2 + 2 * guv * a2 * b2 + gvv * b2 * b2), "length"), r6(a, "a"), r6(b, "b"))
 
 
 @query(f"""WITH {SPHERE} SELECT a.cid, round(acos(least(greatest(a.x * b.x + a.y * b.y + a.z * b.z, -1.0), 1.0)), 6) AS arc,

@@ -413,11 +413,8 @@ def k2_order_limit(spark, sf_dir):
 
 @query(None)
 def k3_exclusive_top(spark, sf_dir):
-    """The best cells at least ten cells apart: candidates by a distributed top, then a greedy pass over
-    that bounded list."""
-    c, _, _ = elev(spark, sf_dir)
-    best = c.orderBy(F.desc("h"), "cid").limit(40 * 12).collect()  # 40 candidates for each place asked for
-    kept = exclusive_top([(r["h"], r["cid"], (r["i"], r["j"])) for r in best], 12, 10.0)
+    """The best cells at least ten cells apart: a greedy pass over blocks of a distributed top."""
+    kept = exclusive_top(elev(spark, sf_dir)[0], "h", "cid", ("i", "j"), 12, 10.0)
     return spark.createDataFrame([(n + 1, r[1], float(r[0])) for n, r in enumerate(kept)], "rank int, cid long, h double")
 
 
@@ -516,8 +513,8 @@ def x4_budyko(spark, sf_dir):
 
 
 @query(f"""WITH {ELEV}, l AS (SELECT cid, 28 - 50 * power(abs({LAT}) / (pi() / 2), 1.5) - 6.5 * h / 100000 AS t, least(90 * power(rain / 100, 1.2), 400) AS p FROM elev, dim)
-SELECT CASE WHEN t < -12 THEN 0 WHEN t < -2 THEN 1 WHEN t < 5 AND p < 20 THEN 1 WHEN t < 5 THEN 2 WHEN t < 20 AND p < 25 THEN 3 WHEN t < 20 AND p < 60 AND t < 13 THEN 4 WHEN t < 20 AND p < 60 THEN 5
- WHEN t < 20 AND p < 180 THEN 6 WHEN t < 20 THEN 7 WHEN p < 30 THEN 8 WHEN p < 100 THEN 9 WHEN p < 220 THEN 10 ELSE 11 END AS biome, count(*) AS n FROM l GROUP BY 1""")
+SELECT CASE WHEN t < -12 THEN 1 WHEN t < -2 THEN 2 WHEN t < 5 AND p < 20 THEN 2 WHEN t < 5 THEN 3 WHEN t < 20 AND p < 25 THEN 7 WHEN t < 20 AND p < 60 AND t < 13 THEN 4 WHEN t < 20 AND p < 60 THEN 8
+ WHEN t < 20 AND p < 180 THEN 5 WHEN t < 20 THEN 6 WHEN p < 30 THEN 7 WHEN p < 100 THEN 9 WHEN p < 220 THEN 10 ELSE 11 END AS biome, count(*) AS n FROM l GROUP BY 1""")
 def x5_biomes(spark, sf_dir):
     c, h, _ = elev(spark, sf_dir)
     c = with_rain(spark, sf_dir, c)

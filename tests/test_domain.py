@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import basins, raster, windows
+from tessella.operators import basins, graph, jobs, raster, tileflood, windows
 from tessella.plans import domain_queries, params
 from tessella.sources import images
 
@@ -176,3 +176,103 @@ def test_chamfer_reaches_all_of_a_large_land(spark):
 def test_ring_totals_of_a_thick_mask(spark, data):
     got = domain_queries.r14_ring_totals(spark, data).first()
     assert got["area"] > 0.5 * spark.read.parquet(f"{data}/orders.parquet").count()
+
+
+def slow_flood(h, drain):
+    """(order, receiver, level) by scanning a list for the next cell: a cell at the level it is reached at goes
+    first, then the lowest, then the one reached first."""
+    high, wide = h.shape
+    seen, waiting, order = drain.copy(), [], []
+    level, receiver = h.copy(), np.full(h.size, -1)
+    steps = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+    beside = lambda i, j: [(i + a, j + b) for a, b in steps if 0 <= i + a < high and 0 <= j + b < wide]
+    turn = 0
+    for i in range(high):
+        for j in range(wide):
+            if drain[i, j] and any(not drain[n] for n in beside(i, j)):
+                waiting.append((1, h[i, j], turn, (i, j)))
+                turn += 1
+    while waiting:
+        waiting.sort()
+        i, j = waiting.pop(0)[3]
+        order.append(i * wide + j)
+        for n in beside(i, j):
+            if not seen[n]:
+                seen[n] = True
+                receiver[n[0] * wide + n[1]] = i * wide + j
+                level[n] = max(h[n], level[i, j])
+                waiting.append((0, 0, turn, n) if h[n] <= level[i, j] else (1, h[n], turn, n))
+                turn += 1
+    return order, receiver.tolist(), level.ravel().tolist()
+
+
+def test_flood_order_by_a_list():
+    rng = np.random.default_rng(11)
+    for trial in range(25):
+        h = rng.integers(0, 6, (rng.integers(1, 12), rng.integers(1, 12))).astype(float)
+        drain = rng.random(h.shape) < 0.05
+        drain[0, :] = drain[-1, :] = drain[:, 0] = drain[:, -1] = True
+        order, receiver, code, level = tileflood.flood_order(h, drain)
+        want = slow_flood(h, drain)
+        assert (order.tolist(), receiver.tolist(), level.tolist()) == want
+        for c in range(h.size):
+            if receiver[c] >= 0:
+                di, dj = tileflood.D8[code[c]]
+                assert receiver[c] == c + di * h.shape[1] + dj
+            else:
+                assert code[c] == 255
+        acc = tileflood.gathered(order, receiver, np.ones(h.size))
+        assert acc[receiver < 0].sum() == h.size
+
+
+def test_tile_floods_cover_every_cell(spark):
+    rows = [(i * 23 + j, i, j, None if (i, j) == (3, 3) else float((i * 7 + j * 5) % 11)) for i in range(17) for j in range(23) if (i + j) % 31]
+    cells = spark.createDataFrame(rows, "cid long, i long, j long, h double")
+    out = tileflood.tile_floods(cells, 8).toPandas().set_index("cid")
+    assert len(out) == len(rows) and (out["depth"] >= 0).all() and out["acc"].sum() >= len(rows)
+    inner = out[out["receiver"].notna()]
+    assert (out.loc[inner["receiver"].astype(int), "rank"].to_numpy() < inner["rank"].to_numpy()).all()
+    assert tileflood.tile_floods(cells.limit(0), 8).count() == 0
+
+
+def test_spectral_slope_of_made_noise(spark):
+    rng = np.random.default_rng(2)
+    n = 64
+    k = np.hypot(np.fft.fftfreq(n, 20.0)[:, None], np.fft.fftfreq(n, 20.0)[None, :])
+    k[0, 0] = 1
+    z = np.real(np.fft.ifft2(k**-1.5 * np.exp(2j * np.pi * rng.random((n, n)))))
+    cells = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(n) for j in range(n)] + [(n, 0, 1.0)], "i long, j long, h double")
+    got = tileflood.spectral_slopes(cells, n, 20.0, (60.0, 600.0)).collect()
+    assert len(got) == 1 and abs(got[0]["beta"] - 3.0) < 0.5 and got[0]["n"] >= 8
+
+
+def test_spill_levels_in_rounds_are_those_of_the_heap(spark):
+    rng = np.random.default_rng(6)
+    for trial in range(4):
+        n = 40
+        pairs = {tuple(sorted(p)): float(w) for p, w in zip(rng.integers(0, n, (90, 2)).tolist(), rng.integers(0, 12, 90)) if p[0] != p[1]}
+        pairs |= {(-1, int(d)): float(w) for d, w in zip(rng.integers(0, n, 3), rng.integers(0, 9, 3))}
+        rows = [(a, b, w) for (a, b), w in pairs.items()] + [(100, 101, 1.0)]  # no way out
+        want = {k: v for k, v in graph.spill_levels(rows, {-1}).items() if k != -1}
+        got = graph.spill_levels_in_rounds(spark.createDataFrame(rows, "a long, b long, w double"))
+        assert {r["root"]: r["level"] for r in got.collect()} == want
+
+
+def test_exclusive_top_reads_on_until_enough_stand(spark):
+    rows = [(k, k // 30, k % 30, float(1000 - (k // 30 - 5) ** 2 - (k % 30 - 5) ** 2)) for k in range(900)] + [(900, 0, 0, None)]
+    df = spark.createDataFrame(rows, "id long, i long, j long, s double")
+    want = []
+    for k, i, j, s in sorted((r for r in rows if r[3] is not None), key=lambda r: (-r[3], r[0])):
+        if len(want) < 6 and all((i - a) ** 2 + (j - b) ** 2 >= 100 for _, a, b in want):
+            want.append((k, i, j))
+    for block in (7, 50, 2000):
+        got = graph.exclusive_top(df, "s", "id", ("i", "j"), 6, 10.0, block)
+        assert [(k, *p) for _, k, p in got] == want
+    assert len(graph.exclusive_top(df, "s", "id", ("i", "j"), 50, 25.0, 100)) < 5
+
+
+def test_jobs_one_of_a_kind_at_a_time(spark):
+    there = spark.createDataFrame([("bake", "w", "t", "running"), ("bake", "v", "t", "done")], "kind string, world string, title string, state string")
+    asked = spark.createDataFrame([(1, "bake", "w", "t"), (2, "bake", "v", "t"), (3, "bake", "v", "t"), (4, "zoom", None, None), (5, "zoom", None, "zoom")], "n int, kind string, world string, title string")
+    got = jobs.submitted(there, asked, "n").orderBy("n").collect()
+    assert [(r["n"], r["title"], r["state"]) for r in got] == [(2, "t", "queued"), (4, "zoom", "queued")]
