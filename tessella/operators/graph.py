@@ -40,19 +40,24 @@ def roots(links: DataFrame, node: str = "cid", down: str = "down", most: int = 6
     raise ValueError("the graph has a cycle")
 
 
-def accumulate(links: DataFrame, weights: DataFrame, node: str = "cid", down: str = "down", weight: str = "w", most: int = 64) -> DataFrame:
+def accumulate(links: DataFrame, weights: DataFrame, node: str = "cid", down: str = "down", weight: str | Sequence[str] = "w", most: int = 64) -> DataFrame:
     """acc = own weight + all weight from upstream, by doubling: each round adds what reaches a node over
-    paths of 2^r to 2^(r+1) - 1 steps."""
-    jump = settled(links.select(F.col(node).alias("n"), F.when(F.col(node) != F.col(down), F.col(down)).alias("p")))
-    acc = settled(weights.select(F.col(node).alias("n"), F.col(weight).cast("double").alias("a")))
+    paths of 2^r to 2^(r+1) - 1 steps. Of several weights each is added up, as acc_<weight>, in one go. Nodes
+    whose way has ended take no part in the join of a round."""
+    names = [weight] if isinstance(weight, str) else list(weight)
+    sums = ["acc"] if isinstance(weight, str) else [f"acc_{w}" for w in names]
+    jump = links.select(F.col(node).alias("n"), F.when(F.col(node) != F.col(down), F.col(down)).alias("p"))
+    own = weights.select(F.col(node).alias("n"), *[F.col(w).cast("double").alias(a) for w, a in zip(names, sums)])
+    state = settled(jump.join(own, "n"))
     for _ in range(most):
-        live = jump.where(F.col("p").isNotNull())
+        live = state.where(F.col("p").isNotNull())
         if live.isEmpty():
-            return acc.select(F.col("n").alias(node), F.col("a").alias("acc"))
-        sent = live.join(acc, "n").groupBy(F.col("p").alias("n")).agg(F.sum("a").alias("more"))
-        acc = settled(acc.join(sent, "n", "left").select("n", (F.col("a") + F.coalesce("more", F.lit(0.0))).alias("a")))
-        up = jump.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-        jump = settled(jump.join(up, "p", "left").select("n", F.col("pp").alias("p")))
+            return state.select(F.col("n").alias(node), *sums)
+        sent = live.groupBy(F.col("p").alias("n")).agg(*[F.sum(a).alias(f"_{a}") for a in sums])
+        up = state.select(F.col("n").alias("p"), F.col("p").alias("pp"))
+        moved = live.join(up, "p").select("n", F.col("pp").alias("p"), *sums)
+        moved = moved.unionByName(state.where(F.col("p").isNull()))
+        state = settled(moved.join(sent, "n", "left").select("n", "p", *[(F.col(a) + F.coalesce(f"_{a}", F.lit(0.0))).alias(a) for a in sums]))
     raise ValueError("the graph has a cycle")
 
 

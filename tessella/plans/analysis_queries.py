@@ -37,10 +37,9 @@ def g2_roots(spark, sf_dir):
 SELECT w.cid, round(sum(e.rain), 4) AS acc, count(*) AS cells FROM walk w JOIN elev e ON e.cid = w.src GROUP BY w.cid""")
 def g4_accumulation(spark, sf_dir):
     c, _, _ = elev(spark, sf_dir)
-    links = graph.settled(grid.steepest(c).select("cid", "down"))
-    rain = graph.accumulate(links, with_rain(spark, sf_dir, c).withColumnRenamed("rain", "w"))
-    one = graph.accumulate(links, c.withColumn("w", F.lit(1.0)))
-    return rain.join(one.select("cid", F.col("acc").cast("long").alias("cells")), "cid").select("cid", F.round("acc", 4).alias("acc"), "cells")
+    weights = with_rain(spark, sf_dir, c).select("cid", "rain", F.lit(1.0).alias("one"))
+    both = graph.accumulate(grid.steepest(c).select("cid", "down"), weights, weight=["rain", "one"])
+    return both.select("cid", F.round("acc_rain", 4).alias("acc"), F.col("acc_one").cast("long").alias("cells"))
 
 
 @query(f"""WITH RECURSIVE {ELEVN}, {NBRN}, {D8}, {PATHS} SELECT root, count(*) AS cells, round(sum(rain), 4) AS rain, max(h) AS top, max(depth)::BIGINT AS longest FROM up JOIN elev USING (cid) GROUP BY root""")
