@@ -160,6 +160,29 @@ def mask_components(cells: DataFrame, mask: Column) -> DataFrame:
     return components(pairs, own)
 
 
+def smooth_shore(cells: DataFrame, depth: str, lake: Column, reach: float, core: float, sigma: float, radius: int, keep: float) -> DataFrame:
+    """(cid, value): a signed depth (below zero: ground over the water) with its shores smoothed. cells: cid, i, j.
+
+    Where depth lies above -reach, what lies within `core` of the water's level is smoothed among such
+    cells, and its zero is the new shore; depth and height beyond core stay on top of it, on the side that
+    the cell is on then. A lake of which less than the share `keep` would stay water is left as it is, and
+    so are all cells at or below -reach.
+    """
+    c = cells.select("cid", "i", "j", F.col(depth).cast("double").alias("d"), F.coalesce(lake, F.lit(False)).alias("lake"))
+    c = c.withColumn("zone", F.col("d") > -reach)
+    c = settled(c.withColumn("near", F.least(F.greatest(F.col("d"), F.lit(-core)), F.lit(core))))
+    share = gaussian(c.select("cid", "i", "j", F.col("zone").cast("double").alias("v")), "v", sigma, radius).select("cid", F.col("v").alias("w"))
+    mean = gaussian(c.select("cid", "i", "j", F.when(F.col("zone"), F.col("near")).otherwise(0.0).alias("v")), "v", sigma, radius)
+    smooth = settled(c.where("zone").join(mean.select("cid", "v"), "cid").join(share, "cid").withColumn("e", F.col("v") / F.col("w")))
+    label = mask_components(c, F.col("lake"))
+    wet = label.join(smooth.select("cid", "e"), "cid", "left").groupBy("label").agg(F.avg((F.coalesce("e", F.lit(-1.0)) > 0).cast("int")).alias("share"))
+    left = label.join(wet.where(F.col("share") < keep), "label", "left_semi").select("cid", F.lit(True).alias("left"))
+    out = smooth.join(left, "cid", "left").withColumn("e", F.when(F.col("left"), F.col("near")).otherwise(F.col("e")))
+    beyond = F.col("d") - F.col("near")
+    value = F.col("e") + F.when(F.col("e") > 0, F.greatest(beyond, F.lit(0.0))).otherwise(F.least(beyond, F.lit(0.0)))
+    return out.select("cid", value.alias("value")).unionByName(c.where("not zone").select("cid", F.col("d").alias("value")))
+
+
 def thin(cells: DataFrame, mask: Column, most: int = 1000) -> DataFrame:
     """(cid, i, j) of a mask thinned to lines one cell wide (Zhang and Suen): two kinds of sub-iterations
     take off border cells, each judged on the state before it, until neither finds any."""

@@ -56,7 +56,7 @@ def p5_transfer_vector(spark, sf_dir):
     g = F.when(f < 2, side(p[1], 2)).when(f < 4, side(p[2], 4)).otherwise(side(p[0], 0))
     c = c.withColumn("g", g)
     u2, v2 = geo.project_to_face(F.col("g"), p)
-    c = c.withColumns({"u2": u2, "v2": v2})
+    c = settled(c.withColumns({"u2": u2, "v2": v2}))
     there = (F.col("g"), F.col("u2"), F.col("v2"))
     c = c.withColumns(dict(zip(("a2", "b2"), geo.transfer_vector(f, u, v, F.lit(1.0), F.lit(0.5), *there))))
     c = settled(c)  # else each of the many uses of a component would work it out again

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import jobs, tileflood
-from .analysis_queries import _scratch
+from ..operators import jobs, raster, tileflood
+from .analysis_queries import COMP, _scratch
 from .registry import ELEV, elev, query, r6, table, with_rain
 from .relation_queries import LAT, _lat
 
@@ -139,3 +139,17 @@ def v6_fixture_stages(spark, sf_dir):
         "cid", "i", "j", "h", (F.col("h") < 0).alias("sea"), r6(15 - 30 * F.abs(F.col("i") - 31.5) / 32 - 0.0065 * land, "temperature"),
         F.when(F.col("h") < 0, 0.0).otherwise(F.round(50 + F.col("h") / 20, 6)).alias("rain"), r6(land / 100, "sediment"),
     )
+
+
+@query(f"""WITH RECURSIVE {COMP}, sc AS (SELECT cid, i, j, h > 150000 AS lake, (h - 150000) / 10000.0::DOUBLE AS d FROM elev),
+n AS (SELECT *, least(greatest(d, -3.0), 3.0) AS near, d > -12 AS zone FROM sc),
+o AS (SELECT x AS di, y AS dj, exp(-(x * x + y * y) / 2.0) AS g FROM range(-3, 4) a(x), range(-3, 4) b(y)),
+sm AS (SELECT a.cid, sum(g * b.near) / sum(g) AS e FROM n a CROSS JOIN o JOIN n b ON b.i = a.i + o.di AND b.j = a.j + o.dj WHERE a.zone AND b.zone GROUP BY 1),
+thin AS (SELECT label FROM comp JOIN sm USING (cid) GROUP BY 1 HAVING avg((e > 0)::INT) < 0.5),
+f AS (SELECT n.cid, n.d, n.near, CASE WHEN comp.label IN (SELECT label FROM thin) THEN n.near ELSE sm.e END AS e FROM n JOIN sm USING (cid) LEFT JOIN comp USING (cid))
+SELECT cid, round(e + CASE WHEN e > 0 THEN greatest(d - near, 0.0) ELSE least(d - near, 0.0) END, 6) AS value FROM f
+UNION ALL SELECT cid, round(d, 6) FROM n WHERE NOT zone""")
+def r18_smooth_shore(spark, sf_dir):
+    """Depths about a level with the shores of their lakes smoothed, thin lakes left as they are."""
+    c = elev(spark, sf_dir)[0].withColumn("d", (F.col("h") - 150000) / 10000.0)
+    return raster.smooth_shore(c, "d", F.col("h") > 150000, 12.0, 3.0, 1.0, 3, 0.5).select("cid", r6(F.col("value"), "value"))

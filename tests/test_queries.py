@@ -8,22 +8,13 @@ import pytest
 
 from tessella.plans import catalogue
 
-#: Queries that run here; the driver holds all of them against their texts.
-SOME = [
-    "basin_table", "g5_flow_directions", "g4_accumulation", "p1_to_sphere", "p13_rotate_points", "j4_nearest_vectors", "j5_radius_self_join",
-    "j9_bilinear", "a3_weighted_quantiles", "a4_hold_land_share", "a18_spearman", "r6_chamfer", "r10_thermal", "w10_ema", "w11_islands",
-    "s15_as_of", "s14_checkpoints", "s6_manifest", "i4_serial_fold", "x5_biomes", "x5_seasonal_biomes", "x15_units", "g17_block_picks",
-    "v3_job_queue", "v4_progress", "v6_fixture_stages", "s20_tile_index", "q5_drainage_density",
-]
-
-
 def plain(v):
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     return float(v) if hasattr(v, "as_tuple") else v
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_matches_sql(spark, data, name):
     con = duckdb.connect()
     for p in glob.glob(f"{data}/*.parquet"):
