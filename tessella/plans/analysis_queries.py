@@ -155,9 +155,24 @@ def g8_channel_nodes(spark, sf_dir):
     return ch.join(n, "cid", "left").select("cid", kind.alias("kind"))
 
 
-@query(None)
+def _orders(most: int) -> str:
+    """Tables s2 to s<most>: cells of at least that order, which are those at or below a meeting of two of the
+    order before."""
+    return ",\n".join(
+        f"""j{k} AS (SELECT t.down AS cid FROM s{k - 1} JOIN t USING (cid) GROUP BY 1 HAVING count(*) > 1),
+s{k}(cid) AS (SELECT cid FROM j{k} UNION SELECT t.down FROM s{k} JOIN t USING (cid))"""
+        for k in range(2, most + 1)
+    )
+
+
+ORDERS = 9
+
+
+@query(f"""WITH RECURSIVE {ELEVN}, {NBRN}, {D8}, t AS MATERIALIZED (SELECT (cid + 0)::BIGINT AS cid, (down + 0)::BIGINT AS down FROM d8 WHERE cid <> down), s1 AS (SELECT cid FROM t),
+{_orders(ORDERS)}
+SELECT t.cid AS id, (1 + {" + ".join(f"(t.cid IN (SELECT cid FROM s{k}))::INT" for k in range(2, ORDERS + 1))})::INT AS "order" FROM t""")
 def g8_strahler(spark, sf_dir):
-    """Strahler orders of the forest of steepest descent; tests hold them against a recursion."""
+    """Strahler orders of the forest of steepest descent; tests also hold them against a recursion."""
     links = grid.steepest(elev(spark, sf_dir)[0]).where("cid <> down")
     return graph.strahler(links.select(F.col("cid").alias("id"), F.col("cid").alias("a"), F.col("down").alias("b")))
 

@@ -110,9 +110,13 @@ def k7_border_slots(spark, sf_dir):
     return selection.within_budget(s, ["owner"], ["near", "slot"], "cost", "budget").select("slot", "owner", "own")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CLOUD}, o AS (SELECT vec_id, x, y, z, row_number() OVER (ORDER BY vec_id) AS r FROM cloud),
+w(r, kept) AS (SELECT 0::BIGINT, []::STRUCT(v BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[]
+  UNION ALL SELECT o.r, CASE WHEN len(list_filter(w.kept, lambda k: (k.x - o.x) ** 2 + (k.y - o.y) ** 2 + (k.z - o.z) ** 2 <= 0.2::DOUBLE * 0.2::DOUBLE)) = 0
+    THEN list_append(w.kept, {{'v': o.vec_id, 'x': o.x, 'y': o.y, 'z': o.z}}) ELSE w.kept END FROM w JOIN o ON o.r = w.r + 1)
+SELECT unnest(kept).v AS vec_id FROM w WHERE r = (SELECT max(r) FROM o)""")
 def k6_greedy_accept(spark, sf_dir):
-    """Points accepted in order of id at a least distance; tests hold it against the sequential walk."""
+    """Points accepted in order of id at a least distance; tests also hold it against the sequential walk."""
     return selection.greedy_accept(cloud(spark, sf_dir), "vec_id", ["x", "y", "z"], 0.2)
 
 

@@ -296,9 +296,17 @@ def j12_cross_resolution(spark, sf_dir):
     return c.withColumns(key).join(coarse, ["bi", "bj"]).select("cid", F.round(F.col("h") - F.col("m"), 4).alias("above"))
 
 
-@query(None)
+@query(f"""WITH {SPHERE}, {OFF},
+t AS (SELECT s.cid, o.k, tan(((s.i + o.di + 0.5::DOUBLE) / {N} - 0.5) * pi() / 2) AS p, tan(((s.j + o.dj + 0.5::DOUBLE) / {N} - 0.5) * pi() / 2) AS q, b.* EXCLUDE (face)
+  FROM cells s CROSS JOIN off o JOIN bases b USING (face)),
+l AS (SELECT cid, k, nx + p * rx + q * ux AS x, ny + p * ry + q * uy AS y, nz + p * rz + q * uz AS z FROM t),
+v AS (SELECT cid, k, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM l),
+a AS (SELECT *, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN CASE WHEN x >= 0 THEN 0 ELSE 1 END
+  WHEN abs(y) >= abs(z) THEN CASE WHEN y >= 0 THEN 2 ELSE 3 END ELSE CASE WHEN z >= 0 THEN 4 ELSE 5 END END AS face FROM v),
+u AS (SELECT cid, k, face, atan((x * rx + y * ry + z * rz) / (x * nx + y * ny + z * nz)) * (2 / pi()) + 0.5 AS a, atan((x * ux + y * uy + z * uz) / (x * nx + y * ny + z * nz)) * (2 / pi()) + 0.5 AS b FROM a JOIN bases USING (face))
+SELECT cid, k, ((face * {N} + greatest(least(floor(a * {N}), {N - 1}), 0)) * {N} + greatest(least(floor(b * {N}), {N - 1}), 0))::BIGINT AS nid FROM u""")
 def j13_cube_edges(spark, sf_dir):
-    """Neighbours across cube edges; tests hold them against a search on the sphere."""
+    """Neighbours across cube edges; tests also hold them against a search on the sphere."""
     return grid.sphere_neighbours(grid.sphere_cells(spark, N), N)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import aggregate, grid, joins, windows
 from ..operators.graph import exclusive_top
-from .registry import CLOUD, ELEV, N, NBR, SPHERE, cloud, elev, query, r6, table, with_rain
+from .registry import CLOUD, ELEV, ELEVN, N, NBR, SPHERE, cloud, elev, query, r6, table, with_rain
 
 # --- joins over points -------------------------------------------------------------------------
 
@@ -411,7 +411,12 @@ def k2_order_limit(spark, sf_dir):
     return top.select("c_nationkey", "c_custkey", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("c_acctbal"), "c_custkey")).alias("rank"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {ELEVN}, o AS MATERIALIZED (SELECT cid, i, j, h::DOUBLE AS h, row_number() OVER (ORDER BY h DESC, cid) AS r FROM elev),
+walk(r, kept) AS (SELECT 0::BIGINT, []::STRUCT(c BIGINT, i BIGINT, j BIGINT, h DOUBLE)[]
+  UNION ALL SELECT o.r, CASE WHEN len(list_filter(walk.kept, lambda k: (k.i - o.i) ** 2 + (k.j - o.j) ** 2 < 100)) = 0
+    THEN list_append(walk.kept, {{'c': o.cid, 'i': o.i, 'j': o.j, 'h': o.h}}) ELSE walk.kept END FROM walk JOIN o ON o.r = walk.r + 1 WHERE len(walk.kept) < 12),
+l AS (SELECT unnest(kept) AS k, unnest(range(1, len(kept) + 1)) AS rank FROM (SELECT kept FROM walk ORDER BY r DESC LIMIT 1))
+SELECT rank::INT AS rank, k.c AS cid, k.h AS h FROM l""")
 def k3_exclusive_top(spark, sf_dir):
     """The best cells at least ten cells apart: a greedy pass over blocks of a distributed top."""
     kept = exclusive_top(elev(spark, sf_dir)[0], "h", "cid", ("i", "j"), 12, 10.0)
@@ -454,9 +459,12 @@ def n1_keyed_uniform(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(rules.keyed_uniform(7, F.col("o_orderkey")), 9).alias("u"))
 
 
-@query(None)
+@query("""WITH a AS (SELECT o_orderkey, ((o_orderkey::UHUGEINT + 11400714819323198492::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM orders),
+b AS (SELECT o_orderkey, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM a),
+c AS (SELECT o_orderkey, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM b)
+SELECT o_orderkey, (xor(z, z >> 31) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE * 2 - 1 AS noise FROM c""")
 def n2_lattice_noise(spark, sf_dir):
-    """splitmix64 by position; tests hold it against integer arithmetic."""
+    """splitmix64 by position; tests also hold it against integer arithmetic."""
     return table(spark, sf_dir, "orders").select("o_orderkey", rules.lattice_noise(F.col("o_orderkey"), 7).alias("noise"))
 
 
