@@ -204,3 +204,33 @@ def test_index_finds_what_brute_force_finds():
                 if got_s >= 0.8:
                     want[r, i] = max(want.get((r, i), 0), got_s)
     assert want and got == want
+
+
+def test_index_at_the_radius_that_ships():
+    """Items with words replaced to a similarity of 0.8 or a little over: nearly all are found, exact ones always."""
+    rng = random.Random(16)
+    seen = found = 0
+    for m in (14, 40, 120):
+        items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(m))) for i in range(40)]
+        index = decontam.Index(items)
+        texts, pairs = [], []
+        for i, item in items:
+            parts = item.split()
+            own = decontam._shingle_counts([w.encode() for w in parts], 5)
+            changed = [*parts]
+            for at in rng.sample(range(m), m):
+                trial = [*changed]
+                trial[at] = "edited"
+                if decontam.similarity(decontam._shingle_counts([w.encode() for w in trial], 5), own) < 0.8:
+                    break
+                changed = trial
+            for words in (parts, changed):
+                pairs.append((len(texts), i, words == parts))
+                texts.append(" ".join([f"a{rng.randint(0, 999)}" for _ in range(30)] + words + [f"b{rng.randint(0, 999)}" for _ in range(30)]))
+        offsets = np.cumsum([0] + [len(t) for t in texts])
+        got = index.find(offsets, np.frombuffer("".join(texts).encode(), np.uint8))
+        for row, item, exact in pairs:
+            assert not exact or got[row, item][0] == 1.0
+            seen += 1
+            found += (row, item) in got
+    assert found >= 0.97 * seen
