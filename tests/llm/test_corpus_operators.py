@@ -351,6 +351,33 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0 and mixing.training_order(none).count() == 0
 
 
+def test_mixing_without_ids(spark, monkeypatch):
+    """Rows without an id are spread by their texts; the order holds what the plan takes of each."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rows = [(None, " ".join(["w"] * (n % 7)) + f" t{n}", "s") for n in range(60)] + [(None, "same text", "s")] * 3 + [(1, "a b", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(docs)
+    got = plan.collect()
+    begins = sorted((r["start"], r["size"]) for r in got if r["source"] == "s")
+    assert all(a + n == b for (a, n), (b, _) in zip(begins, begins[1:]))
+    order = mixing.training_order(docs).collect()
+    assert sum(r["copy_words"] for r in order) == sum(r["taken"] for r in got)
+    by_text = Counter()
+    for r in order:
+        by_text[r["text"]] += r["copy_words"]
+    assert all(by_text[t] <= 2 * len(t.split()) * sum(x[1] == t for x in rows) for t in by_text)
+
+
+def test_mixing_equals_its_sql(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    cols = ["doc_id", "position", "size", "source_size", "start", "taken", "target"]
+    want = con.sql(f"select {', '.join(cols)} from ({mixing.SQL})").fetchall()
+    assert Counter(map(tuple, entry.queries()["op6_source_mixing"](spark, data).select(*cols).collect())) == Counter(want)
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, " ".join(LONG.split()[50:90])), (2, None), (3, ""), (4, "no id here"), (5, "nothing like it anywhere at all in these texts")]
     bench = spark.createDataFrame(items, "item_id long, text string")
