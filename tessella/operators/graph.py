@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import tempfile
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,18 @@ def settled(df: DataFrame) -> DataFrame:
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint(eager=True)
+    return unsized(df.checkpoint(eager=True))
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """A checkpointed df without the size that its plan was guessed to have. A checkpoint keeps that guess, a join
+    multiplies those of its sides, and in a loop the number itself grows until it fills the driver. Partitioning and order stay."""
+    spark, plan = df.sparkSession, df._jdf.queryExecution().logical()
+    none = spark._jvm.scala.Option.empty()
+    bare = spark._jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), none, spark._jsparkSession, none, none
+    )
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, bare), spark)
 
 
 def roots(links: DataFrame, node: str = "cid", down: str = "down", most: int = 64) -> DataFrame:
@@ -77,6 +91,68 @@ def components(edges: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: Cells of a block, a side, that one task searches; edges reach over two cells.
+BLOCK = 8
+
+
+def radius_components(points: DataFrame, key: str, group: str, xyz: Sequence[str], radius: float) -> DataFrame:
+    """(key, group, piece): the least key of each component of points of one group that lie within a radius of
+    each other. Points without a group are on their own. Pairs are never listed: cells are so small that all a
+    group has in one is one piece, and of two cells in reach one link is enough. Blocks of cells, with the cells
+    around them, are searched side by side; equal points count once there."""
+    side = radius / len(xyz) ** 0.5 * (1 - 1e-9)
+    cells = [f"_c{n}" for n in range(len(xyz))]
+    at = points.select(F.col(key).alias("cid"), F.col(group).alias("_g"), *[F.col(c).cast("double").alias(f"_x{n}") for n, c in enumerate(xyz)])
+    at = at.withColumns({c: F.floor(F.col(f"_x{n}") / side) for n, c in enumerate(cells)})
+    rep = at.where("_g is not null").groupBy("_g", *cells).agg(F.min("cid").alias("rep"))
+    named = settled(at.join(rep, ["_g", *cells], "left").withColumn("rep", F.coalesce("rep", "cid")))
+    spots = named.where("_g is not null").select("_g", *cells, "rep", *[f"_x{n}" for n in range(len(xyz))]).distinct()
+    for c in cells:
+        ends = F.array_distinct(F.array(*[F.floor((F.col(c) + d) / BLOCK) for d in (-2, 2)]))
+        spots = spots.withColumn(f"_b{c}", F.explode(ends))
+    blocks = [f"_b{c}" for c in cells]
+    edges = settled(spots.groupBy("_g", *blocks).applyInArrow(lambda t: _cell_links(t, cells, blocks, radius), "a long, b long").distinct())
+    label = components(edges, named.select(F.col("rep").alias("cid")).distinct()).select(F.col("cid").alias("rep"), F.col("label").alias("piece"))
+    return named.join(label, "rep").select(F.col("cid").alias(key), F.col("_g").alias(group), "piece")
+
+
+def _cell_links(table: pa.Table, cells: list[str], blocks: list[str], radius: float) -> pa.Table:
+    """Links (a, b) between the names of cells in reach that hold points within the radius, a's cell in the block."""
+    place = np.stack([table.column(c).to_numpy() for c in cells], 1)
+    x = np.stack([table.column(f"_x{n}").to_numpy() for n in range(len(cells))], 1)
+    rep = table.column("rep").to_numpy()
+    order = np.lexsort(place.T)
+    place, x, rep = place[order], x[order], rep[order]
+    edge = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]).any(1), [True])))
+    own = {tuple(place[a].tolist()): (a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())}
+    home = tuple(table.column(b)[0].as_py() for b in blocks)
+    zero = (0,) * len(cells)
+    near = [o for o in itertools.product(range(-2, 3), repeat=len(cells)) if o > zero]
+    u, v = [], []
+    for cell, (a, b) in own.items():
+        if tuple(c // BLOCK for c in cell) != home:
+            continue
+        for o in near:
+            other = own.get(tuple(c + d for c, d in zip(cell, o)))
+            if other and _touch(x[a:b], x[other[0] : other[1]], radius * radius):
+                u.append(rep[a])
+                v.append(rep[other[0]])
+    return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
+
+
+def _touch(p: np.ndarray, q: np.ndarray, most: float) -> bool:
+    """Whether a point of p and one of q have a squared distance of at most `most`."""
+    step = max(1, (1 << 18) // len(q))
+    for n in range(0, len(p), step):
+        d2 = 0.0
+        for k in range(p.shape[1]):
+            gap = p[n : n + step, None, k] - q[None, :, k]
+            d2 = d2 + gap * gap
+        if (d2 <= most).any():
+            return True
+    return False
+
+
 def spill_levels(pairs: list[tuple], drains: set) -> dict:
     """Minimax path level of every label to a drain, by a heap over the basin graph."""
     near: dict = {}

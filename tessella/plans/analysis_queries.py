@@ -193,14 +193,7 @@ r(a, b) AS (SELECT vec_id, vec_id FROM cloud UNION SELECT r.a, e.b FROM r JOIN e
 SELECT label, piece, count(*) AS n FROM c JOIN cloud USING (vec_id) GROUP BY 1, 2""")
 def g10_split_groups(spark, sf_dir):
     """The pieces of each label on a radius graph."""
-    from ..operators.joins import within
-
-    c = cloud(spark, sf_dir)
-    left = c.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), *[F.col(k).alias(f"a{k}") for k in "xyz"])
-    right = c.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), *[F.col(k).alias(f"b{k}") for k in "xyz"])
-    e = within(left, right, ["ax", "ay", "az"], ["bx", "by", "bz"], 0.15).where("a <> b and la = lb").select("a", "b")
-    lab = graph.components(e, c.select(F.col("vec_id").alias("cid")))
-    met = c.select(F.col("vec_id").alias("cid"), "label").join(lab.withColumnRenamed("label", "piece"), "cid")
+    met = graph.radius_components(cloud(spark, sf_dir), "vec_id", "label", ["x", "y", "z"], 0.15)
     return met.groupBy("label", "piece").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.operators import grid, joins
+from tessella.operators import graph, grid, joins
 
 
 def test_sampling_sends_no_nodes_through_the_driver(spark):
@@ -26,3 +26,33 @@ def test_nearest_vectors_equal_brute_force(spark):
         far = {n: np.inf if q >= 700 or n >= 700 else float(((v[n].astype(float) - v[q]) ** 2).sum()) for n, _ in rows if n != q}
         want |= {(q, n, r + 1) for r, n in enumerate(sorted(far, key=lambda n: (far[n], n))[:3])}
     assert {(r["q"], r["vec_id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_guessed_sizes_do_not_grow_in_loops(spark):
+    state = graph.settled(spark.range(8).select("id", F.col("id").alias("p")))
+    for _ in range(8):
+        state = graph.settled(state.join(state.select(F.col("id").alias("p"), F.col("p").alias("q")), "p").select("id", F.col("q").alias("p")))
+    guess = state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+    assert len(guess) < 25  # a checkpoint alone has over 1,000 digits here
+    assert sorted(map(tuple, state.collect())) == [(n, n) for n in range(8)]
+
+
+def test_pieces_within_a_radius(spark):
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.uniform(-1, 1, (400, 3)), rng.uniform(-0.05, 0.05, (60, 3)) + 3, np.full((40, 3), -2.0)])
+    group = [int(g) if g < 3 else None for g in rng.integers(0, 4, len(p))]
+    rows = [(n, group[n], *map(float, x)) for n, x in enumerate(p)]
+    made = spark.createDataFrame(rows, "id long, g int, x double, y double, z double").repartition(4)
+    got = {r["id"]: r["piece"] for r in graph.radius_components(made, "id", "g", ["x", "y", "z"], 0.3).collect()}
+    near = ((p[:, None] - p[None]) ** 2).sum(2) <= 0.3 * 0.3
+    want = {}
+    for n in range(len(p)):
+        if n not in want:
+            todo, want[n] = [n], n
+            while todo:
+                at = todo.pop()
+                for m in np.flatnonzero(near[at]).tolist():
+                    if m not in want and group[m] is not None and group[m] == group[at]:
+                        want[m] = n
+                        todo.append(m)
+    assert got == want
