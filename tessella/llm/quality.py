@@ -12,6 +12,7 @@ prior. Posterior log odds = prior log odds of the path + evidence.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,20 +189,38 @@ def fit(
                     names=["id", "q", "t", "table", "buckets", "values"],
                 )
 
-    got = met.mapInArrow(run, "id long, q int, t int, table array<double>, buckets array<int>, values array<float>").toArrow().sort_by("id")
-    n = got.num_rows
+    # one task fits, so that the driver gets the models and not the table of at most about max_rows rows
+    made = met.mapInArrow(run, "id long, q int, t int, table array<double>, buckets array<int>, values array<float>").repartition(1)
+    got = made.mapInArrow(_fitted, "model binary").collect()
+    if not got:
+        return _fit_table(None)
+    good, bad, base = pickle.loads(bytes(got[0]["model"]))
+    return Model(Head(**good), Head(**bad), base)
+
+
+def _fitted(batches):
+    got = list(batches)
+    model = _fit_table(pa.Table.from_batches(got) if got else None)
+    parts = pickle.dumps((vars(model.quality), vars(model.toxic), model.base))
+    yield pa.RecordBatch.from_arrays([pa.array([parts], pa.binary())], names=["model"])
+
+
+def _fit_table(got: pa.Table | None) -> Model:
+    """The models of a training table, whatever the order of its rows; even odds without rows."""
+    n = got.num_rows if got is not None else 0
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Model(*(fit_head(np.zeros((0, N_FORMAT)), none, none, np.zeros(0), np.zeros(0)) for _ in "qt"), 0.0)
+    got = got.sort_by("id")
     lists = got.column("buckets").combine_chunks()
-    table = got.column("table").combine_chunks().flatten().to_numpy().reshape(n, N_FORMAT) if n else np.zeros((0, N_FORMAT))
-    rows_of = np.repeat(np.arange(n), lists.value_lengths().to_numpy()) if n else np.zeros(0, np.int64)
-    buckets = lists.flatten().to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
-    values = got.column("values").combine_chunks().flatten().to_numpy().astype(float) if n else np.zeros(0)
+    table = got.column("table").combine_chunks().flatten().to_numpy().reshape(n, N_FORMAT)
+    rows_of = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+    buckets = lists.flatten().to_numpy().astype(np.int64)
+    values = got.column("values").combine_chunks().flatten().to_numpy().astype(float)
     q, t = ((got.column(c).to_numpy() == 1).astype(float) for c in ("q", "t"))
     fit_rows = q * (1 - t)
     base = (fit_rows.sum() + 1) / (n + 2)
-    model = Model(*(fit_head(table, rows_of, buckets, values, y) for y in (q, t)), float(np.log(base / (1 - base))))
-    del got, lists, table, rows_of, buckets, values
-    pa.default_memory_pool().release_unused()  # the driver keeps the model alone
-    return model
+    return Model(*(fit_head(table, rows_of, buckets, values, y) for y in (q, t)), float(np.log(base / (1 - base))))
 
 
 def with_probability(docs: DataFrame, model: Model, text_col: str = "text", name: str = "p") -> DataFrame:
