@@ -287,6 +287,15 @@ def _candidate_links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def _trie_links(nodes: DataFrame) -> DataFrame:
+    """Spanning edges (u, v) of the graph of keys whose SimHashes are equal or linked by the trie self-join."""
+    named = durable(nodes.groupBy("fp").agg(F.min("key").alias("head")))
+    equal = nodes.join(named, "fp").where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    ends = [named.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}")) for c in "uv"]
+    near = linked_fingerprints(named.select("fp")).join(ends[0], "u").join(ends[1], "v")
+    return equal.unionByName(near.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+
+
 def like_sets(sets: list[np.ndarray]) -> np.ndarray:
     """The least index of each set's component, over links of sets whose Jaccard is at least LIKENESS.
     sets: distinct hashes each. A set meets those not yet reached, through an index of their hashes."""
@@ -321,11 +330,13 @@ def like_sets(sets: list[np.ndarray]) -> np.ndarray:
 
 def like_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, root) of the classes: keys of shingle sets, linked where their
-    exact Jaccard is at least LIKENESS. Sets that share a band of least hashes and lie within LIKE_BITS are
-    candidates; every candidate class is then linked by its sets themselves."""
+    exact Jaccard is at least LIKENESS. Candidates come from the trie self-join of the sets' SimHashes; as that
+    radius leaves out most pairs near LIKENESS, sets that share a band of least hashes and lie within LIKE_BITS are
+    candidates too. Every candidate class is then linked by its sets themselves."""
     marked = durable(_marked(docs, id_col, text_col))
     nodes = marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("bands is not null")
-    found = durable(connected_components(_candidate_links(nodes)))
+    nodes = durable(nodes)
+    found = durable(connected_components(_trie_links(nodes.select("key", "fp")).unionByName(_candidate_links(nodes))))
     holders = marked.join(found.select(F.col("node").alias("key")), "key", "left_semi").select("doc_id").distinct()
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     texts = texts.join(holders.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")

@@ -659,3 +659,21 @@ def test_near_dedup_stage_with_unlike_texts_under_one_id(spark):
     rows = [(1, one), (5, one), (5, two), (5, two), (6, two), (7, three), (7, f"{two} {three}"), (None, three), (None, "alone")]
     got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, got)) == Counter([(1, one), (5, two), (7, three), (7, f"{two} {three}"), (None, "alone")])
+
+
+def test_near_dedup_links_by_the_trie(spark, monkeypatch):
+    """The SimHash self-join gives candidates of its own, not only a second look at the bands'."""
+    words = [f"w{n * n % 8191}" for n in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:1500], "x", *words[1501:]]), "quite another text of seven words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_candidate_links", lambda nodes: nodes.select(nodes["key"].alias("u"), nodes["key"].alias("v")).limit(0))
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(rows).collect()) == [0, 2]
+
+
+def test_classifier_is_fitted_in_a_task(spark, monkeypatch):
+    """No training table comes to the driver: what is collected is the model."""
+    docs = spark.createDataFrame([(n, ("good words here " if n % 2 else "bad bad junk ") * (n % 7 + 3)) for n in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(type(docs), "toArrow", None)
+    model = quality.fit(docs, labels)
+    assert model.base == pytest.approx(np.log(31 / 31)) and len(model.quality.buckets)
