@@ -209,31 +209,6 @@ def spill_levels_in_rounds(pairs: DataFrame, most: int = 64) -> DataFrame:
     return out
 
 
-def flood(cells: DataFrame, sinks: DataFrame, edges: DataFrame, drains: DataFrame) -> DataFrame:
-    """(cid, h, filled): depressions filled to their spill level.
-
-    cells: cid, h. sinks: cid, root (the catchment of each cell). edges: cid, nid. drains: cid of cells
-    that drain. Catchments that touch are joined at the least of their contacts' higher cell; levels
-    of that small graph come from a heap on the driver if it has at most MOST_EDGES edges, else from rounds
-    over it, and a cell stands at the higher of itself and its catchment's level.
-    """
-    label = settled(cells.join(sinks.select("cid", "root"), "cid").select("cid", "h", "root"))
-    other = label.select(F.col("cid").alias("nid"), F.col("h").alias("nh"), F.col("root").alias("nroot"))
-    met = edges.select("cid", "nid").join(label, "cid").join(other, "nid").where("root <> nroot")
-    pairs = met.groupBy(F.least("root", "nroot").alias("a"), F.greatest("root", "nroot").alias("b")).agg(F.min(F.greatest("h", "nh")).alias("w"))
-    # a drain is a way out at its own height
-    outs = label.join(drains.select("cid"), "cid", "left_semi").groupBy("root").agg(F.min("h").alias("w"))
-    pairs = pairs.unionByName(outs.select(F.lit(-1).cast("long").alias("a"), F.col("root").alias("b"), "w"))
-    pairs = settled(pairs)
-    if pairs.count() > MOST_EDGES:
-        table = spill_levels_in_rounds(pairs)
-    else:
-        level = spill_levels([tuple(r) for r in pairs.collect()], {DRAIN})
-        table = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in level.items() if k != DRAIN], "root long, level double")
-    out = label.join(table, "root", "left")
-    return out.select("cid", "h", F.greatest("h", F.coalesce("level", F.col("h"))).alias("filled"))
-
-
 def strahler(edges: DataFrame, most: int = 200) -> DataFrame:
     """(id, order) of reaches: edges id, a (from node), b (to node). 1 without inflow, else the highest
     order that flows in, one more if it occurs twice. Rounds from the sources down; reaches on cycles get 1."""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, graph, grid, iterate, raster
+from ..operators import aggregate, graph, grid, iterate, raster, tiles
 from ..sources.store import Store, content_hash, with_missing
 from .registry import CLOUD, D8, ELEV, ELEVN, NBR, NBRN, PATHS, cloud, elev, query, r6, table, with_rain
 
@@ -53,21 +53,13 @@ def basin_table(spark, sf_dir):
     )
 
 
-def _flooded(spark, sf_dir):
-    c, h, w = elev(spark, sf_dir)
-    c = graph.settled(c.select("cid", "i", "j", "h"))
-    border = c.where((F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == h - 1) | (F.col("j") == w - 1))
-    links = grid.steepest(c)
-    near = grid.edges(c, []).select("cid", "nid")
-    return c, graph.flood(c, graph.roots(links), near, border)
-
-
 @query(None)
 def g3_flood(spark, sf_dir):
     """Filled levels of all depressions by the catchments' spill graph (G6); tests hold them against a
     relaxation cell by cell."""
-    c, out = _flooded(spark, sf_dir)
-    return out.select("cid", "h", "filled")
+    c, h, w = elev(spark, sf_dir)
+    border = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == h - 1) | (F.col("j") == w - 1)
+    return tiles.flood(c, border).select("cid", "h", "filled")
 
 
 @query(f"""WITH RECURSIVE {ELEVN}, {NBRN}, m AS MATERIALIZED (SELECT (cid + 0)::BIGINT AS cid FROM elev WHERE h > 150000), e AS MATERIALIZED (SELECT (n.cid + 0)::BIGINT AS a, (n.nid + 0)::BIGINT AS b FROM nbr n WHERE h > 150000 AND nh > 150000),

@@ -1,9 +1,12 @@
 """What larger tables asked of operators: plans and ways that small tables do not show by their results."""
 
+import heapq
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import graph, grid, joins
+from tessella.operators import graph, grid, joins, tiles
 
 
 def test_sampling_sends_no_nodes_through_the_driver(spark):
@@ -56,3 +59,34 @@ def test_pieces_within_a_radius(spark):
                         want[m] = n
                         todo.append(m)
     assert got == want
+
+
+def lowest_levels(h, drain):
+    """Filled levels of a grid by a heap over its cells; nan: no cell."""
+    level, heap = np.full(h.shape, np.inf), [(h[c], c) for c in map(tuple, np.argwhere(drain).tolist())]
+    for v, c in heap:
+        level[c] = v
+    heapq.heapify(heap)
+    while heap:
+        v, (i, j) = heapq.heappop(heap)
+        for n in [(i + a, j + b) for a, b in grid.D8 if 0 <= i + a < h.shape[0] and 0 <= j + b < h.shape[1]]:
+            if h[n] == h[n] and max(v, h[n]) < level[n]:
+                level[n] = max(v, h[n])
+                heapq.heappush(heap, (level[n], n))
+    return np.where(np.isfinite(level), level, h)
+
+
+@pytest.mark.parametrize("most", [10**9, 0])  # by the driver's heap, and in rounds
+def test_floods_meet_over_tiles(spark, most):
+    rng = np.random.default_rng(7)
+    h = np.round(rng.uniform(0, 9, (29, 21)), 1)
+    h[5, :] = h[6:9, 4] = h[20:24, 15] = np.nan  # a wall and gaps
+    h[12:20, 3:12] = 2.0  # a plain
+    drain = np.zeros(h.shape, bool)
+    drain[-1, 3:6] = drain[17, 20] = True
+    rows = [(i * 21 + j, i, j, float(h[i, j]), bool(drain[i, j])) for i in range(29) for j in range(21) if h[i, j] == h[i, j]]
+    cells = spark.createDataFrame(rows, "cid long, i long, j long, h double, d boolean").repartition(5)
+    got = {r["cid"]: r["filled"] for r in tiles.flood(cells, F.col("d"), 8, most).collect()}
+    want = lowest_levels(h, drain).ravel()
+    assert got == {c: want[c] for c, *_ in rows}
+    assert sum(want[c] > v for c, _, _, v, _ in rows) > 100
