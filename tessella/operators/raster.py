@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tiles
 from .graph import roots, settled
 from .grid import D8, SQRT2, edges, scatter, stencil
 
@@ -183,30 +186,50 @@ def smooth_shore(cells: DataFrame, depth: str, lake: Column, reach: float, core:
     return out.select("cid", value.alias("value")).unionByName(c.where("not zone").select("cid", F.col("d").alias("value")))
 
 
-def thin(cells: DataFrame, mask: Column, most: int = 1000) -> DataFrame:
+def thin(cells: DataFrame, mask: Column, tile: int = tiles.TILE) -> DataFrame:
     """(cid, i, j) of a mask thinned to lines one cell wide (Zhang and Suen): two kinds of sub-iterations
-    take off border cells, each judged on the state before it, until neither finds any."""
+    take off border cells, each judged on the state before it, until neither finds any. A tile takes as many
+    sub-iterations at once as its margin is wide, so that rounds are as many as the widest mask has margins."""
+    margin = tile // 4 * 2  # even: both kinds take part
+    own = settled(cells.where(mask).select("cid", "i", "j"))
+
+    def step(table: pa.Table) -> pa.Table:
+        got = tiles.with_margin(table, margin, tile)
+        if got is None:
+            return table.select(["ta", "tb", "bits", "moved"]).slice(0, 0)
+        a, b, m, moved = got
+        inner = (slice(margin, margin + tile),) * 2
+        new = thinned(m, margin // 2)[inner] if moved else m[inner]
+        return tiles.as_row(a, b, new, bool((new != m[inner]).any()))
+
+    state = settled(tiles.packed(own, tile))
+    while not state.where("moved").isEmpty():
+        state = settled(tiles.surrounded(state).groupBy("ta", "tb").applyInArrow(step, tiles.BITS))
+    return own.join(tiles.unpacked(state, tile), ["i", "j"]).select("cid", "i", "j")
+
+
+def thinned(m: np.ndarray, most: int) -> np.ndarray:
+    """A mask after up to `most` iterations of two sub-iterations; what lies beyond is empty."""
+    high, wide = m.shape
+    p = np.zeros((high + 2, wide + 2), bool)
+    p[1:-1, 1:-1] = m
     # neighbours in a ring from the north, clockwise: i is the row
-    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    state = settled(cells.where(mask).select("cid", "i", "j"))
+    ring = [p[1 + a : 1 + a + high, 1 + b : 1 + b + wide] for a, b in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
+    n, e, s, w = ring[::2]
     for _ in range(most):
-        taken = 0
+        taken = False
         for odd in (False, True):
-            wide = stencil(state.withColumn("m", F.lit(1)), ["m"], ring, keep=["cid"])
-            p = [F.coalesce(F.col(f"m_{k}"), F.lit(0)) for k in range(8)]
-            around, turns = F.lit(0), F.lit(0)
+            around, turns = (np.zeros((high, wide), np.int8) for _ in range(2))
             for k in range(8):
-                around = around + p[k]
-                turns = turns + F.when((p[k] == 0) & (p[(k + 1) % 8] == 1), 1).otherwise(0)
-            n, e, s, w = p[0], p[2], p[4], p[6]
-            sides = (n * e * w == 0) & (n * s * w == 0) if odd else (n * e * s == 0) & (e * s * w == 0)
-            gone = around.between(2, 6) & (turns == 1) & sides
-            marked = settled(wide.select("cid", "i", "j", gone.alias("gone")))
-            taken += marked.where("gone").count()
-            state = marked.where("not gone").select("cid", "i", "j")
+                around += ring[k]
+                turns += ~ring[k] & ring[(k + 1) % 8]
+            sides = (n & w & (e | s)) if odd else (e & s & (n | w))
+            gone = p[1:-1, 1:-1] & (around >= 2) & (around <= 6) & (turns == 1) & ~sides
+            p[1:-1, 1:-1] &= ~gone
+            taken |= gone.any()
         if not taken:
-            return state
-    raise RuntimeError("the mask did not thin out")
+            break
+    return p[1:-1, 1:-1]
 
 
 def rings(cells: DataFrame, mask: Column, most: int = 60) -> DataFrame:

@@ -35,13 +35,14 @@ def packed(cells: DataFrame, tile: int = TILE) -> DataFrame:
         i, j = (table.column(c).to_numpy() for c in ("i", "j"))
         m = np.zeros((tile, tile), bool)
         m[i % tile, j % tile] = True
-        return _bits(int(i[0] // tile), int(j[0] // tile), m, True)
+        return as_row(int(i[0] // tile), int(j[0] // tile), m, True)
 
     own = cells.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), tile_of("i", tile).alias("ta"), tile_of("j", tile).alias("tb"))
     return own.groupBy("ta", "tb").applyInArrow(pack, BITS)
 
 
-def _bits(a: int, b: int, m: np.ndarray, moved: bool) -> pa.Table:
+def as_row(a: int, b: int, m: np.ndarray, moved: bool) -> pa.Table:
+    """A tile's row of bits."""
     return pa.table({"ta": pa.array([a], pa.int64()), "tb": pa.array([b], pa.int64()), "bits": pa.array([np.packbits(m).tobytes()], pa.binary()), "moved": pa.array([moved])})
 
 
@@ -56,7 +57,7 @@ def with_margin(table: pa.Table, margin: int, tile: int):
     m = np.zeros((3 * tile, 3 * tile), bool)
     own = False
     for a, b, bits in zip(*(table.column(c).to_pylist() for c in ("da", "db", "bits"))):
-        m[(a + 1) * tile : (a + 2) * tile, (b + 1) * tile : (b + 2) * tile] = np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(tile, tile)
+        m[(a + 1) * tile : (a + 2) * tile, (b + 1) * tile : (b + 2) * tile] = np.unpackbits(np.frombuffer(bits, np.uint8), count=tile * tile).reshape(tile, tile)
         own |= a == b == 0
     if not own:
         return None
@@ -70,7 +71,7 @@ def unpacked(state: DataFrame, tile: int = TILE) -> DataFrame:
     def unpack(batches):
         for batch in batches:
             for a, b, bits in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb", "bits"))):
-                i, j = np.nonzero(np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(tile, tile))
+                i, j = np.nonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=tile * tile).reshape(tile, tile))
                 yield pa.RecordBatch.from_arrays([pa.array(i + a * tile), pa.array(j + b * tile)], names=["i", "j"])
 
     return state.select("ta", "tb", "bits").mapInArrow(unpack, "i long, j long")

@@ -57,6 +57,16 @@ def test_thinning_is_zhang_and_suens(spark):
     assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(thinned(m)))))
 
 
+def test_thinning_goes_over_tiles(spark):
+    rng = np.random.default_rng(11)
+    m = rng.uniform(size=(50, 43)) < 0.97  # a nearly full mask over 4 x 4 tiles, 20 layers deep
+    m[30:, 20:25] = False
+    got = {(r["i"], r["j"]) for r in raster.thin(masked(spark, m), F.lit(True), 14).collect()}
+    assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(thinned(m)))))
+    m = np.zeros((20, 20), bool)
+    assert raster.thin(masked(spark, m), F.lit(True), 8).count() == 0
+
+
 def test_flood_with_slope_is_a_heap_flood(spark):
     rng = np.random.default_rng(2)
     h = np.round(rng.uniform(0, 10, (17, 13)), 2)
