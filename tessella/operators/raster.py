@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tiles
-from .graph import roots, settled
+from .graph import settled
 from .grid import D8, SQRT2, edges, scatter, stencil
 
 #: Passes between two materialisations of the state.
@@ -232,47 +232,130 @@ def thinned(m: np.ndarray, most: int) -> np.ndarray:
     return p[1:-1, 1:-1]
 
 
-def rings(cells: DataFrame, mask: Column, most: int = 60) -> DataFrame:
+#: Segments of rings that one task ties together, whatever tile they begin in.
+ONE_TASK = 100_000
+#: Tiles of a level, a side, that make one of the next.
+COARSER = 8
+_SEGMENT = "key long, nxt long, n long, low long, at long"
+_TIED = "part long, up long, off long, ring long, ring_at long, ring_n long, " + _SEGMENT
+
+
+def rings(cells: DataFrame, mask: Column, tile: int = tiles.TILE, one_task: int = ONE_TASK) -> DataFrame:
     """Boundary rings of a mask's cells: ring, seq, x, y, and the next corner ex, ey. Cells' sides without a neighbour of the mask are
     directed edges with the mask on their left in (x = i, y = j); chained end to start, at a pinch to the
     right, so that blocks that touch at a corner are one ring (and holes that do are two). Outer rings have a
     positive area, holes a negative one. A ring is named by its least edge and begins there (i under 2^30 and j
-    under 2^31, neither negative); chains close by pointer doubling, as
-    many joins as the longest ring's length has bits."""
-    # side: (neighbour, start corner, end corner), counter-clockwise
-    sides = [((0, -1), (0, 0), (1, 0)), ((1, 0), (1, 0), (1, 1)), ((0, 1), (1, 1), (0, 1)), ((-1, 0), (0, 1), (0, 0))]
-    own = settled(cells.where(mask).select("i", "j"))
-    wide = stencil(own.withColumn("m", F.lit(1)), ["m"], [s[0] for s in sides])
-    made = [
-        F.when(
-            F.col(f"m_{k}").isNull(),
-            F.struct((F.col("i") + a[0]).alias("x"), (F.col("j") + a[1]).alias("y"), (F.col("i") + b[0]).alias("ex"), (F.col("j") + b[1]).alias("ey"), F.lit(k).alias("dir")),
-        )
-        for k, (_, a, b) in enumerate(sides)
-    ]
-    edge = wide.select(F.explode(F.filter(F.array(*made), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    # an edge's key, one long, orders edges by start, then direction
-    edge = settled(edge.withColumn("key", F.shiftleft(F.col("x").cast("long"), 33) + F.col("y") * 4 + F.col("dir")))
-    after = edge.select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("dir").alias("nd"), F.col("key").alias("nxt"))
-    turn = F.pmod(F.col("nd") - F.col("dir") + 1, F.lit(4))  # 0 to the right, 1 straight on, 2 to the left
-    hop = edge.join(after, ["ex", "ey"]).groupBy("key").agg(F.min(F.struct(turn.alias("t"), "nxt")).alias("b"))
-    state = settled(hop.select("key", F.col("b.nxt").alias("p"), F.least("key", F.col("b.nxt")).alias("low")))
-    nexts = settled(state.select("key", F.col("p").alias("nxt")))
-    for _ in range(most):
-        far = state.select(F.col("key").alias("p"), F.col("p").alias("pp"), F.col("low").alias("l2"))
-        new = settled(state.join(far, "p").select("key", F.col("pp").alias("p"), F.least("low", "l2").alias("low"), (F.col("l2") < F.col("low")).alias("moved")))
-        still = not new.where("moved").isEmpty()
-        state = new.select("key", "p", "low")
-        if not still:
-            break
-    # distance to the end of the ring, cut before its least edge, gives the order
-    named = nexts.join(state.select("key", "low"), "key")
-    chain = named.select("key", F.when(F.col("nxt") == F.col("low"), F.col("key")).otherwise(F.col("nxt")).alias("down"), "low")
-    left = roots(chain, "key", "down").select("key", "depth")
-    out = chain.join(left, "key")
-    size = out.groupBy("low").agg(F.max("depth").alias("last"))
-    out = out.join(size, "low").join(edge.select("key", "x", "y", "ex", "ey"), "key")
-    return out.select(F.col("low").alias("ring"), (F.col("last") - F.col("depth")).alias("seq"), "x", "y", "ex", "ey")
+    under 2^31, neither negative). Tiles chain their edges to segments, and coarser tiles the segments that
+    leave the finer ones, until all are rings: as many levels as the grid's extent has digits."""
+
+    def chain(table: pa.Table) -> pa.Table:
+        got = tiles.with_margin(table, 2, tile)
+        return none if got is None else _tile_edges(*got[:3], tile)
+
+    schema = f"{_TIED}, x long, y long, ex long, ey long"
+    none = pa.table({c.split()[0]: pa.array([], pa.int64()) for c in schema.split(", ")})
+    state = tiles.packed(cells.where(mask).select("i", "j"), tile)
+    edge = settled(tiles.surrounded(state).groupBy("ta", "tb").applyInArrow(chain, schema))
+    levels, todo = [edge], _open(edge)
+    while n := todo.count():
+        tile *= COARSER
+        x, y = F.shiftright("key", 33), F.shiftright(F.col("key").bitwiseAND((1 << 33) - 1), 2)
+        by = (F.lit(0), F.lit(0)) if n <= one_task else (F.floor(x / tile), F.floor(y / tile))
+        todo = todo.withColumns({"ta": by[0], "tb": by[1]})
+        level = settled(todo.groupBy("ta", "tb").applyInArrow(_tie_segments, _TIED))
+        levels.append(level)
+        todo = _open(level)
+    # from the top down: where a segment begins in its ring, and the ring's least edge, its place and length
+    known = None
+    for level in levels[::-1]:
+        done = level.where("ring is not null").withColumn("from", F.col("off"))
+        if known is not None:
+            above = known.select(F.col("part").alias("up"), F.col("from").alias("_f"), F.col("ring").alias("_r"), F.col("ring_at").alias("_a"), F.col("ring_n").alias("_n"))
+            rest = level.where("ring is null").join(above, "up")
+            rest = rest.withColumns({"ring": F.col("_r"), "ring_at": F.col("_a"), "ring_n": F.col("_n"), "from": F.col("off") + F.col("_f")})
+            done = done.unionByName(rest.select(*done.columns))
+        known = done
+    return known.select("ring", F.pmod(F.col("from") - F.col("ring_at"), F.col("ring_n")).alias("seq"), "x", "y", "ex", "ey")
+
+
+def _open(level: DataFrame) -> DataFrame:
+    """The segments that a level's tiles could not close: a row for each, at its first part."""
+    return level.where("ring is null and off = 0").select("key", "nxt", "n", "low", "at")
+
+
+def _tie(key: list, after: list, n: list, low: list, at: list) -> pa.Table:
+    """Rows of _TIED: parts (key, the next one's index or -1 - its key, edges, least edge and its place) tied to
+    longer segments, or closed to rings. up names the segment by its first part, off is the place in it."""
+    size = len(key)
+    begins = [True] * size
+    for t in after:
+        if t >= 0:
+            begins[t] = False
+    up, off, ring, ring_at, ring_n = ([None] * size for _ in range(5))
+    seg: list = [(None,) * 5] * size
+    for closed, heads in ((False, [p for p in range(size) if begins[p]]), (True, range(size))):
+        for head in heads:
+            if up[head] is not None:
+                continue
+            p, total, least, place, met = head, 0, None, 0, []
+            while p >= 0 and up[p] is None:
+                up[p], off[p] = key[head], total
+                if least is None or low[p] < least:
+                    least, place = low[p], total + at[p]
+                total += n[p]
+                met.append(p)
+                p = after[p]
+            if closed:
+                for q in met:
+                    ring[q], ring_at[q], ring_n[q] = least, place, total
+            else:
+                seg[head] = (key[head], -1 - p, total, least, place)
+    columns = [key, up, off, ring, ring_at, ring_n, *zip(*seg)] if size else [[]] * 11
+    names = [c.split()[0] for c in _TIED.split(", ")]
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(names, columns)})
+
+
+def _tie_segments(table: pa.Table) -> pa.Table:
+    key, nxt, n, low, at = (table.column(c).to_pylist() for c in ("key", "nxt", "n", "low", "at"))
+    where = {k: p for p, k in enumerate(key)}
+    return _tie(key, [where.get(t, -1 - t) for t in nxt], n, low, at)
+
+
+def _tile_edges(a: int, b: int, m: np.ndarray, tile: int) -> pa.Table:
+    """A tile's edges as rows of _TIED with their corners; m has a margin of two cells."""
+    # side: (neighbour, start corner), counter-clockwise; a side ends where the next one starts
+    sides = [((0, -1), (0, 0)), ((1, 0), (1, 0)), ((0, 1), (1, 1)), ((-1, 0), (0, 1))]
+    side = np.zeros((4, tile + 4, tile + 4), bool)
+    inner = slice(1, tile + 3)
+    for k, ((da, db), _) in enumerate(sides):
+        side[k, inner, inner] = m[inner, inner] & ~m[1 + da : tile + 3 + da, 1 + db : tile + 3 + db]
+    own = np.zeros((tile + 4, tile + 4), bool)
+    own[2:-2, 2:-2] = True
+    number = np.full(side.shape, -1)
+    dirs, i, j = np.nonzero(side & own)
+    number[dirs, i, j] = np.arange(len(i))
+    start = np.array([s for _, s in sides])
+    x, y = i + start[dirs, 0], j + start[dirs, 1]
+    ex, ey = i + start[(dirs + 1) % 4, 0], j + start[(dirs + 1) % 4, 1]
+    after, nxt, found = np.full(len(i), -1), np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+    name = lambda x, y, d: ((x - 2 + a * tile) << 33) + (y - 2 + b * tile) * 4 + d
+    for turn in (-1, 0, 1):  # to the right, straight on, to the left
+        d = (dirs + turn) % 4
+        ci, cj = ex - start[d, 0], ey - start[d, 1]
+        here = side[d, ci, cj] & ~found
+        after[here] = number[d, ci, cj][here]
+        nxt[here] = name(ex, ey, d)[here]
+        found |= here
+    key = name(x, y, dirs)
+    order = np.argsort(key)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key))
+    to = np.where(after >= 0, rank[after], -1 - nxt)[order].tolist() if len(key) else []
+    keys = key[order].tolist()
+    out = _tie(keys, to, [1] * len(keys), keys, [0] * len(keys))
+    for c, v, shift in (("x", x, a), ("y", y, b), ("ex", ex, a), ("ey", ey, b)):
+        out = out.append_column(c, pa.array(v[order] - 2 + shift * tile))
+    return out
 
 
 def ring_areas(ring_rows: DataFrame) -> DataFrame:

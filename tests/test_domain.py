@@ -32,6 +32,41 @@ def test_rings_of_blocks_and_of_a_hole(spark):
     assert raster.rings(masked(spark, m).where("cid < 0"), F.lit(True)).count() == 0
 
 
+def walked_rings(m):
+    """Rings of a mask as lists of (x, y, ex, ey), each from its least edge, by walking along the edges."""
+    m = np.pad(m, 1)
+    steps = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+    starts = {}  # (corner, direction) of every edge
+    for i, j in zip(*map(lambda a: a.tolist(), np.nonzero(m))):
+        for d, (beside, corner) in enumerate((((0, -1), (0, 0)), ((1, 0), (1, 0)), ((0, 1), (1, 1)), ((-1, 0), (0, 1)))):
+            if not m[i + beside[0], j + beside[1]]:
+                starts[i - 1 + corner[0], j - 1 + corner[1], d] = True
+    out = []
+    for e in sorted(starts):
+        ring, at = [], e
+        while starts.get(at):
+            starts[at] = False
+            x, y, d = at
+            ex, ey = x + steps[d][0], y + steps[d][1]
+            ring.append((x, y, ex, ey))
+            at = next((ex, ey, (d + t) % 4) for t in (-1, 0, 1) if (ex, ey, (d + t) % 4) in starts)
+        if ring:
+            out.append(ring)
+    return out
+
+
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_rings_close_over_tiles(spark, one_task):
+    m = np.random.default_rng(3).uniform(size=(40, 37)) < 0.7
+    rows = raster.rings(masked(spark, m), F.lit(True), 4, one_task).orderBy("ring", "seq").collect()
+    got = {}
+    for r in rows:
+        assert r["seq"] == len(got.setdefault(r["ring"], []))
+        got[r["ring"]].append((r["x"], r["y"], r["ex"], r["ey"]))
+    want = walked_rings(m)
+    assert max(map(len, want)) > 100 and list(got.values()) == want
+
+
 def thinned(m):
     m = np.pad(m, 1).astype(int)
     while True:
