@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import MOST_EDGES, accumulate, roots, settled
+from .graph import accumulate, roots, settled
+from .grid import D8, edges
 
 
 def split_oversize(links: DataFrame, most: int, rounds: int = 64) -> DataFrame:
@@ -21,18 +24,22 @@ def split_oversize(links: DataFrame, most: int, rounds: int = 64) -> DataFrame:
     closest to half of the basin (the least cell of equals); what drains through it is a new basin.
     A basin is named by its outlet's cell.
     """
-    tree = settled(links.select("cid", "down"))
+    tree, done = settled(links.select("cid", "down")), None
     for _ in range(rounds):
         at = roots(tree).select("cid", F.col("root").alias("basin"))
         sizes = at.groupBy("basin").agg(F.count(F.lit(1)).alias("n"))
         large = settled(sizes.where(F.col("n") > most))
+        small = at.join(large, "basin", "left_anti").select("cid", "basin")
+        done = small if done is None else done.unionByName(small)
         if large.isEmpty():
-            return at
-        up = accumulate(tree, tree.select("cid", F.lit(1).alias("w")))
-        met = at.join(large, "basin").join(up, "cid").where("cid <> basin")
+            return done
+        # only the cells of basins that are too large go on
+        rest = settled(at.join(large, "basin").join(tree, "cid").select("cid", "down", "basin", "n"))
+        up = accumulate(rest, rest.select("cid", F.lit(1).alias("w")))
+        met = rest.join(up, "cid").where("cid <> basin")
         half = F.struct(F.abs(F.col("acc") - F.col("n") / 2).alias("d"), F.col("cid").alias("cut"))
         cuts = met.groupBy("basin").agg(F.min(half).alias("b")).select(F.col("b.cut").alias("cid"), F.lit(1).alias("_cut"))
-        tree = settled(tree.join(cuts, "cid", "left").select("cid", F.when(F.col("_cut").isNotNull(), F.col("cid")).otherwise(F.col("down")).alias("down")))
+        tree = settled(rest.join(cuts, "cid", "left").select("cid", F.when(F.col("_cut").isNotNull(), F.col("cid")).otherwise(F.col("down")).alias("down")))
     raise RuntimeError("basins did not get small enough")
 
 
@@ -45,51 +52,75 @@ def merge_plan(sizes: Sequence[tuple[int, int]], into: dict[int, int], contacts:
     A union only makes basins larger, so basins are taken size by size: what a size holds is complete when
     its turn comes. Borders and drains keep the names they were given, and are read through the union.
     """
-    part, size, drain = {b: b for b, _ in sizes}, dict(sizes), dict(into)
-    borders: dict[int, list[tuple[int, int]]] = {b: [] for b in size}
-    for a, b, w in contacts:
-        borders[a].append((b, w))
-        borders[b].append((a, w))
+    ids = np.array(sorted(b for b, _ in sizes), np.int64)
+    n = dict(sizes)
+    drain = np.array([into.get(b, -1) for b in ids.tolist()], np.int64)
+    a, b, w = (np.array(c, np.int64) for c in zip(*contacts)) if contacts else (np.zeros(0, np.int64),) * 3
+    to = merged(ids, np.array([n[b] for b in ids.tolist()], np.int64), _places(ids, drain, drain >= 0), _places(ids, a), _places(ids, b), w, least, most)
+    return dict(zip(ids.tolist(), ids[to].tolist()))
+
+
+def _places(ids: np.ndarray, of: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Places in ids (ascending), -1 for those not known."""
+    at = np.searchsorted(ids, of).astype(np.int32)
+    return at if known is None else np.where(known, at, -1).astype(np.int32)
+
+
+def merged(ids: np.ndarray, n: np.ndarray, into: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The plan on places: basins are numbered in the order of their ids, into is -1 without a drain, a and b are
+    the basins in contact. About 20 bytes for each contact and 30 for each basin."""
+    count = len(ids)
+    order = np.argsort(np.concatenate([a, b]), kind="stable")
+    begin = np.searchsorted(np.concatenate([a, b])[order], np.arange(count + 1)).tolist()
+    beside, border = np.concatenate([b, a])[order], np.concatenate([w, w]).astype(np.int32)[order]
+    del order
+    part, size, drain = array("i", range(count)), array("q", n.tolist()), array("i", into.tolist())
+    # a basin's parts are a list: each one's next, and the last one of all
+    follows, last = array("i", [-1]) * count, array("i", range(count))
     turn: dict[int, list[int]] = {}
-    for b, n in size.items():
-        turn.setdefault(n, []).append(b)
-
-    def now(b: int) -> int:
-        while part[b] != b:
-            part[b] = part[part[b]]
-            b = part[b]
-        return b
-
-    for n in range(least):
-        for small in sorted(turn.pop(n, ())):
-            if now(small) != small or size[small] != n:
+    for c in np.flatnonzero(n < least).tolist():
+        turn.setdefault(size[c], []).append(c)
+
+    def now(c: int) -> int:
+        while part[c] != c:
+            part[c] = part[part[c]]
+            c = part[c]
+        return c
+
+    for m in range(least):
+        for small in sorted(turn.pop(m, ())):
+            if now(small) != small or size[small] != m:
                 continue
             shared = Counter()
-            for b, w in borders[small]:
-                shared[now(b)] += w
+            c = small
+            while c >= 0:
+                held = slice(begin[c], begin[c + 1])
+                for o, x in zip(beside[held].tolist(), border[held].tolist()):
+                    shared[now(o)] += x
+                c = follows[c]
             shared.pop(small, None)
             below = _later(small, drain, now)
-            for keep in sorted((b for b in shared if size[b] + n <= most), key=lambda b: (-shared[b], b)):
+            for keep in sorted((o for o in shared if size[o] + m <= most), key=lambda o: (-shared[o], o)):
                 if keep not in below and small not in _later(keep, drain, now):
                     break
             else:
                 continue
             part[small] = keep
-            size[keep] += n
-            borders[keep] += borders.pop(small)
-            if keep in drain and now(drain[keep]) == keep:  # it drained into what it has taken in
-                drain.pop(keep)
-                if small in drain:
-                    drain[keep] = drain[small]
-            turn.setdefault(size[keep], []).append(keep)
-    return {b: now(b) for b in part}
+            size[keep] += m
+            follows[last[keep]] = small
+            last[keep] = last[small]
+            if drain[keep] >= 0 and now(drain[keep]) == keep:  # it drained into what it has taken in
+                drain[keep] = drain[small]
+            if size[keep] < least:
+                turn.setdefault(size[keep], []).append(keep)
+    return np.array([now(c) for c in range(count)], np.int32)
 
 
-def _later(b: int, drain: dict[int, int], now) -> set[int]:
+def _later(b: int, drain: array, now) -> set[int]:
     """What b drains to by way of another."""
     seen: list[int] = []
     met = {b}
-    while (b := drain.get(b)) is not None:
+    while (b := drain[b]) >= 0:
         b = now(b)
         seen.append(b)
         if b in met:
@@ -98,21 +129,28 @@ def _later(b: int, drain: dict[int, int], now) -> set[int]:
     return set(seen[1:])
 
 
-def merge_undersize(cells: DataFrame, edges: DataFrame, drains: DataFrame, least: int, most: int) -> DataFrame:
-    """(cid, basin) with basins under `least` cells merged. cells: cid, basin. edges: cid, nid, k.
-    drains: basin, into. Contacts are counted in Spark (2 along an edge, 1 across a corner); the order
-    of merges depends on all before it, so the basin graph, checked in size, is merged on the driver."""
-    cells = settled(cells.select("cid", "basin"))
-    other = cells.select(F.col("cid").alias("nid"), F.col("basin").alias("nb"))
-    met = edges.where("k < 4").select("cid", "nid", "k").join(cells, "cid").join(other, "nid").where("basin <> nb")
-    weight = F.sum(F.when(F.col("k") % 2 == 0, 2).otherwise(1))
-    contacts = settled(met.groupBy(F.least("basin", "nb").alias("a"), F.greatest("basin", "nb").alias("b")).agg(weight.alias("w")))
+def merge_undersize(cells: DataFrame, drains: DataFrame, least: int, most: int) -> DataFrame:
+    """(cid, basin) with basins under `least` cells merged. cells: cid, i, j, basin. drains: basin, into. Contacts
+    are counted in Spark (2 along an edge, 1 across a corner); the order of merges depends on all before it,
+    so the basin graph is merged on the driver, in arrays."""
+    cells = settled(cells.select("cid", "i", "j", "basin"))
+    met = edges(cells, ["basin"], D8[:4], own=["basin"]).where("basin <> n_basin")
+    weight = F.sum(F.when(F.col("k") % 2 == 0, 2).otherwise(1)).cast("int")
+    contacts = settled(met.groupBy(F.least("basin", "n_basin").alias("a"), F.greatest("basin", "n_basin").alias("b")).agg(weight.alias("w")))
     sizes = cells.groupBy("basin").agg(F.count(F.lit(1)).alias("n"))
-    if contacts.count() > MOST_EDGES:
-        raise ValueError("the basin graph is too large for the driver")
-    into = {r["basin"]: r["into"] for r in drains.select("basin", "into").collect() if r["into"] is not None and r["into"] != r["basin"]}
-    plan = merge_plan([tuple(r) for r in sizes.collect()], into, [tuple(r) for r in contacts.collect()], least, most)
-    table = cells.sparkSession.createDataFrame(list(plan.items()) or [(-1, -1)], "basin long, _to long")
+    out = F.when(F.col("into") != F.col("basin"), F.col("into"))
+    known = sizes.join(drains.select("basin", out.alias("into")), "basin", "left").select("basin", F.col("n").cast("int").alias("n"), "into").toArrow()
+    ids = known.column("basin").to_numpy()
+    order = np.argsort(ids)
+    ids, n, into = ids[order], known.column("n").to_numpy()[order], known.column("into").fill_null(-1).to_numpy()[order]
+    into = _places(ids, into, into >= 0)
+    del known, order
+    rows = contacts.toArrow()
+    a, b = (_places(ids, rows.column(c).to_numpy()) for c in "ab")
+    w = rows.column("w").to_numpy()
+    del rows
+    to = merged(ids, n, into, a, b, w, least, most)
+    table = cells.sparkSession.createDataFrame(pa.table({"basin": ids, "_to": ids[to]}))
     return cells.join(table, "basin").select("cid", F.col("_to").alias("basin"))
 
 

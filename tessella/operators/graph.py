@@ -12,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges of a basin graph that the driver's heap takes (24 bytes each); larger ones are solved in rounds.
-MOST_EDGES = 1_000_000
 DRAIN = -1
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import graph, grid, joins, tiles
+from tessella.operators import basins, graph, grid, joins, tiles
 
 
 def test_sampling_sends_no_nodes_through_the_driver(spark):
@@ -90,3 +90,13 @@ def test_floods_meet_over_tiles(spark, most):
     want = lowest_levels(h, drain).ravel()
     assert got == {c: want[c] for c, *_ in rows}
     assert sum(want[c] > v for c, _, _, v, _ in rows) > 100
+
+
+def test_basins_with_over_a_million_contacts_merge(spark):
+    c = spark.range(600 * 600).select(F.col("id").alias("cid"), F.floor(F.col("id") / 600).alias("i"), (F.col("id") % 600).alias("j"), F.col("id").alias("basin"))
+    drains = c.select("basin", F.lit(None).cast("long").alias("into"))
+    got = basins.merge_undersize(c, drains, 2, 3).groupBy("basin").count().groupBy("count").count().collect()
+    sizes = {r[0]: r[1] for r in got}
+    assert sum(n * k for n, k in sizes.items()) == 360_000 and max(sizes) <= 3
+    # only those stay alone whose neighbours have no room
+    assert sizes.get(1, 0) < 10_000
