@@ -4,12 +4,12 @@ Targets: sources in code-point order (null last) weigh by a repeating list and s
 words; a target stops at `max_epochs` times its source's words and the excess goes to the others by
 weight (water-filling, solved in closed form over the table of sources).
 
-Order: each source's weight is a schedule over training time t in [0, 1], w(t) = 1 + slope (2t - 1),
-whose integral t (1 - slope) + slope t^2 is its cumulative demand. A document's words lie in its
+Order: each source's weight is a schedule over training time t in [0, 1], a line through given knots (t, w).
+Its integral, scaled to the source's target, is its cumulative demand. A document's words lie in its
 source's queue (ordered by a hash of id and text) as the interval [a, b); copy c takes the interval
 [c S + a, c S + b), S being the source's words, as far as the target T reaches. The copy's training
 position is the time at which the integrated demand arrives at its start: the inverse of the
-integral. Documents are then range-sorted by position.
+integral, solved within the piece between two knots. Documents are then range-sorted by position.
 
 The queues' running sums go in two steps, sums by hash bucket and then sums within a bucket, so
 that a source with a third of all rows is spread over as many tasks as it needs.
@@ -28,8 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_EPOCHS = 2
-#: Slopes of the sources' weight schedules, repeating in code-point order: later, even, earlier.
-SLOPES = (0.5, 0.0, -0.5)
+#: The sources' weight schedules as knots (t, w), repeating in code-point order: later, even, earlier.
+SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (1.0, 0.5)))
 #: Rows of a source that one task sums in order, about.
 BUCKET_ROWS = 20_000
 
@@ -77,11 +77,30 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return docs.select(i.alias("doc_id"), docs[source_col].alias("source"), n_words(t).alias("size"), queue_key(i, t).alias("key"))
 
 
-def demand_inverse(offset: Column, target: Column, slope: Column) -> Column:
-    """t in [0, 1] at which the integral of the schedule, scaled to `target` words, is `offset`."""
+def integrated(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
+    """(begin, before, weight, rise) of a schedule's pieces: when a piece begins, the share of the whole integral
+    before it, and its first weight and slope over the whole integral. Pieces without weight are left out."""
+    times, weights = zip(*((float(t), float(w)) for t, w in knots))
+    if times[0] != 0 or times[-1] != 1 or any(b <= a for a, b in zip(times, times[1:])) or min(weights) < 0 or max(weights) <= 0:
+        raise ValueError("a schedule's times rise from 0 to 1, and its weights are at least 0 and not all 0")
+    pieces = list(zip(times, times[1:], weights, weights[1:]))
+    areas = [(v - u) * (a + b) / 2 for u, v, a, b in pieces]
+    whole, before, out = sum(areas), 0.0, []
+    for (u, v, a, b), area in zip(pieces, areas):
+        if area > 0:
+            out.append((u, before / whole, a / whole, (b - a) / (v - u) / whole))
+        before += area
+    return out
+
+
+def demand_inverse(offset: Column, target: Column, schedule: Column) -> Column:
+    """t in [0, 1] at which the integral of the schedule (an array of `integrated` pieces), scaled to `target`
+    words, is `offset`; where it rests at that for a while, the end of the rest."""
     share = F.least(F.greatest(F.when(target > 0, offset / target).otherwise(F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    root = (F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope)
-    return F.when(slope == 0, share).otherwise(root)
+    piece = F.element_at(F.filter(schedule, lambda p: p["before"] <= share), -1)
+    need = share - piece["before"]
+    root = F.sqrt(F.greatest(piece["weight"] * piece["weight"] + 2 * piece["rise"] * need, F.lit(0.0)))
+    return F.least(piece["begin"] + F.when(need > 0, 2 * need / (piece["weight"] + root)).otherwise(F.lit(0.0)), F.lit(1.0))
 
 
 def mix(
@@ -92,7 +111,7 @@ def mix(
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
-    slopes: Sequence[float] = SLOPES,
+    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
 ) -> DataFrame:
     """What the mix takes of every row of docs.
 
@@ -132,12 +151,14 @@ def mix(
         (F.col("s.ahead") + F.col("q.inner")).alias("start"),
     )
     whole = F.floor("target")
-    slope = F.element_at(F.array(*map(F.lit, map(float, slopes))), (F.col("rank") % len(slopes) + 1).cast("int"))
+    names = ("begin", "before", "weight", "rise")
+    made = [F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, p)]) for p in integrated(s)]) for s in schedules]
+    schedule = F.element_at(F.array(*made), (F.col("rank") % len(schedules) + 1).cast("int"))
     begins = [F.col("start") + F.col("source_size") * c for c in range(max_epochs)]
     parts = [F.greatest(F.least(F.col("size"), whole - b), F.lit(0)).cast("long") for b in begins]
     copies = F.array(
         *[
-            F.struct(p.alias("words"), demand_inverse(b.cast("double"), F.col("target"), slope).alias("position"))
+            F.struct(p.alias("words"), demand_inverse(b.cast("double"), F.col("target"), schedule).alias("position"))
             for p, b in zip(parts, begins)
         ]
     )
@@ -157,6 +178,11 @@ def mix(
     ).withColumn("positions", F.transform("copies", lambda c: c["position"]))
 
 
+def in_order(plan: DataFrame) -> DataFrame:
+    """The rows of `mix`, range-sorted by the position of their first copy (ties by id); rows not taken come last."""
+    return plan.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
+
+
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as they are trained on: a row for each copy taken, with all columns of docs and copy_words,
     position, range-sorted by position (ties by id). Where docs has a column of such a name, the added one

@@ -368,6 +368,28 @@ def test_mixing_without_ids(spark, monkeypatch):
     assert all(by_text[t] <= 2 * len(t.split()) * sum(x[1] == t for x in rows) for t in by_text)
 
 
+def test_demand_is_the_integral_of_any_schedule(spark):
+    """A schedule of several pieces, one of them at rest: positions against a sum over small steps of time."""
+    knots = ((0, 0), (0.2, 2), (0.5, 0.5), (0.6, 0), (0.8, 0), (1, 1))
+    docs = spark.createDataFrame([(n, "w " * (n % 9 + 1), "s") for n in range(200)], "doc_id long, text string, source string")
+    got = sorted((c["position"], r["start"], r["source_size"]) for r in mixing.mix(docs, schedules=[knots]).collect() for c in r["copies"][:1])
+    t = (np.arange(1_000_000) + 0.5) / 1_000_000
+    demand = np.cumsum(np.interp(t, *zip(*knots)))
+    demand *= got[0][2] * 1.5 / demand[-1]
+    for position, start, _ in got:
+        assert position == pytest.approx(t[min(np.searchsorted(demand, start), len(t) - 1)] if start else 0, abs=1e-4)
+    assert [g[1] for g in got] == sorted(g[1] for g in got)
+    for bad in (((0, 1), (0.5, 1)), ((0, 1), (1, -1)), ((0, 0), (1, 0))):
+        with pytest.raises(ValueError):
+            mixing.integrated(bad)
+
+
+def test_mixing_query_is_range_sorted(spark, data):
+    got = [r["position"] for r in entry.queries()["op6_source_mixing"](spark, data).collect()]
+    some = [p for p in got if p is not None]
+    assert some == sorted(some) and got[: len(some)] == some
+
+
 def test_mixing_equals_its_sql(spark, data):
     import duckdb
 
