@@ -187,6 +187,18 @@ def test_chaining_where_other_documents_hold_pieces(spark, hot, monkeypatch):
     assert set(linked(spark, rows)) == want
 
 
+def test_chaining_where_long_pieces_lie_on_both_sides(spark):
+    """Pieces longer than a seed's context, in earlier and in later documents, hide no pair of rare seeds."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for k in range(20):
+        p, n = made(rng, 68), 10 * k
+        around = lambda words: made(rng, 30) + words + made(rng, 30)
+        rows += [(n, around(p[:34])), (n + 1, around(p[34:])), (n + 2, around(p)), (n + 3, around(p)), (n + 4, around(p[:34])), (n + 5, around(p[34:]))]
+        want.add((n + 3, n + 2))
+    assert set(linked(spark, rows)) == want
+
+
 def test_chaining_within_a_document(spark):
     rng = random.Random(5)
     p = made(rng, 60)

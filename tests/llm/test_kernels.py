@@ -164,6 +164,25 @@ def test_partners_are_the_first_and_last_of_seed_and_mark():
         assert {(here[a], here[b]) for a, b in zip(x, y)} == want
 
 
+def test_rare_seeds_are_matched_each_with_each(monkeypatch):
+    monkeypatch.setattr(chaining, "EACH", 12)
+    rng = np.random.default_rng(9)
+    for trial in range(20):
+        n = int(rng.integers(1, 70))
+        seed, doc = rng.integers(0, 5, n), rng.integers(0, 9, n)
+        mark, place = (seed << chaining.SKETCH_BITS) | rng.integers(0, 3, n), (rng.integers(0, 2, n) << 32) | np.arange(n)
+        order = np.lexsort((place, doc, mark))
+        mark, doc, place = (c[order] for c in (mark, doc, place))
+        seed, here = mark >> chaining.SKETCH_BITS, list(zip(doc.tolist(), (place >> 32).tolist(), place.tolist()))
+        many = np.bincount(seed, minlength=5)[seed]
+        want = {
+            (max(here[i], here[j]), min(here[i], here[j]))
+            for i in range(n) for j in range(i) if seed[i] == seed[j] and many[i] <= 12 and here[i][:2] != here[j][:2]
+        }
+        x, y, rest = chaining.each_with_each(mark, doc, place)
+        assert sorted((here[a], here[b]) for a, b in zip(x, y)) == sorted(want) and rest.tolist() == (many > 12).tolist()
+
+
 def test_groups_stay_whole_over_batches():
     rng = np.random.default_rng(8)
     keys = np.sort(rng.integers(0, 20, 200))
